@@ -1 +1,8 @@
 """Perambula: mobility analytics and text-pipeline operators as lazy Spark plans."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to executors carry their code with them, so that workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
