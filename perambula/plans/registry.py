@@ -1,4 +1,6 @@
-"""Name to query and name to oracle SQL; each plan module adds its own."""
+"""Name to query and name to oracle SQL; the plan modules add theirs when they are imported below."""
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+from perambula.plans import labels, mobility  # noqa: E402, F401
