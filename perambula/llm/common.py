@@ -23,6 +23,12 @@ from pyspark.sql import types as T
 
 #: Bytes of text in a block. A longer document is a block of its own.
 BLOCK_BYTES = 4 << 20
+#: Bytes in an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 8 << 20
+#: An estimate from here on means that Spark knows nothing of a plan's size.
+UNKNOWN_BYTES = 1 << 57
+#: Spark's own limit for the buckets of a table.
+MOST_BUCKETS = 100_000
 #: Compressed input bytes for each bucket of a block table.
 BUCKET_BYTES = 16 << 20
 
@@ -48,6 +54,14 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_BYTES, which bounds what a Python worker gets at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key).rstrip("b"))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that is deleted when the driver ends."""
     path = f"{shared_root(spark)}/perambula/{name}-{uuid.uuid4().hex}"
@@ -64,8 +78,9 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of a plan's size, which for file scans is that of the files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Spark's own estimate of a plan's size, which for file scans is that of the files; 0 if it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < UNKNOWN_BYTES else 0
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -130,9 +145,10 @@ class Blocks:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None):
         self.spark = spark = docs.sparkSession
+        bound_batches(spark)
         carried = F.to_json(F.struct(*[docs[c] for c in carry]), {"ignoreNullFields": "false"}) if carry else F.lit(None).cast("string")
         rows = docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].alias("t"), carried.alias("c"))
-        self.n = max(shuffle_partitions(spark), input_bytes(docs) // BUCKET_BYTES)
+        self.n = min(MOST_BUCKETS, max(shuffle_partitions(spark), input_bytes(docs) // BUCKET_BYTES))
         self.buckets = 2 * self.n
         self.name = f"perambula_blocks_{uuid.uuid4().hex}"
         (

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from perambula.llm.common import input_bytes, mix, shuffle_partitions, split_by_bucket, write_table
+from perambula.llm.common import bound_batches, input_bytes, mix, shuffle_partitions, split_by_bucket, write_table
 from perambula.llm.components import components
 
 RADIUS = 3
@@ -196,6 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts have fingerprint 0 and link like any other. A null doc_id takes part, but is
     nobody's component_id; a component of null ids alone has a null one. Repeated rows are kept.
     """
+    bound_batches(docs.sparkSession)
     rows = write_table(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
     distinct = write_table(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     found = components(links(distinct))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from perambula.llm.common import new_path, write_table
+from perambula.llm.common import bound_batches, new_path, write_table
 
 CHUNK_BYTES = 1 << 18
 #: Payloads of fewer bytes are always stored in full.
@@ -114,6 +114,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     Null html is an empty payload. A null page_id is written without its id, and is never the response that
     others refer to. Rows that repeat a page_id and payload have no larger page_id, and are responses.
     """
+    bound_batches(pages.sparkSession)
     src = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html"))
     decided = decide(src, min_bytes)
 
