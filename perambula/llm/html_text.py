@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from perambula.llm.common import bound_batches
+
 # Elements that end a block; elements without text; boilerplate elements and name parts; stop words.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
@@ -31,6 +33,8 @@ BOILERPLATE_NAMES = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose end tag may be missing; they end where one of the same kind or their parent ends.
 OPTIONAL_END = frozenset("p li dt dd tr td th option optgroup thead tbody tfoot".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+INNER_TAGS = frozenset("blockquote dl figcaption figure ol pre table ul".split())
 STOP_WORDS = frozenset(
     (
         "a about after all an and any are as at be been but by can could do for from had has have he her his how i if in into is it its more most no not of on one or other our out she so some such than that the their them then there these they this to up was we were what when which who will with would you your "
@@ -64,7 +68,7 @@ class Blocks:
     """The blocks of one page: text, characters in links, boilerplate mark, container."""
 
     def __init__(self, page: str):
-        self.found: list[tuple[str, int, bool, int]] = []
+        self.found: list[tuple[str, int, bool, bool, int]] = []
         self.parts: list[str] = []
         self.linked = 0
         self.stack = [Element("", False, 0)]
@@ -77,7 +81,7 @@ class Blocks:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
                 top = self.stack[-1]
-                self.found.append((text, self.linked, top.bad, top.container))
+                self.found.append((text, self.linked, top.bad, top.tag in HEADINGS, top.container))
             self.parts, self.linked = [], 0
 
     def say(self, text: str) -> None:
@@ -107,9 +111,10 @@ class Blocks:
             top = self.stack[-1]
             names = {n for m in _NAMES.finditer(rest) for n in re.split(r"[\s_\-\"']+", m[1].lower())} if rest else ()
             bad = top.bad or tag in BOILERPLATE_TAGS or bool(names and names & BOILERPLATE_NAMES) or bool(rest and _HIDDEN.search(rest))
-            if tag == "header" and top.tag in ("article", "main") and not top.bad:
+            own_header = tag == "header" and top.tag in ("article", "main") and not top.bad
+            if own_header:
                 bad = False  # an article's own header holds its heading
-            if tag not in OPTIONAL_END and not re.fullmatch(r"h[1-6]|pre|blockquote|ul|ol|dl|table|figure|figcaption", tag):
+            if tag not in OPTIONAL_END and not own_header and tag not in HEADINGS and tag not in INNER_TAGS:
                 self.made += 1
                 container = self.made
             else:
@@ -168,8 +173,8 @@ def first_pass(text: str, linked: int, bad: bool) -> int:
     return UNDECIDED
 
 
-def second_pass(labels: list[int], containers: list[int]) -> list[bool]:
-    """Undecided blocks take the label of their nearest decided neighbours."""
+def second_pass(labels: list[int], containers: list[int], headings: list[bool]) -> list[bool]:
+    """Undecided blocks take the label of their nearest decided neighbours, headings that of what follows."""
     n = len(labels)
     before, after = [-1] * n, [-1] * n
     last = -1
@@ -190,7 +195,8 @@ def second_pass(labels: list[int], containers: list[int]) -> list[bool]:
         near = [k for k in (before[i], after[i]) if k >= 0]
         good = [k for k in near if labels[k] == CONTENT]
         same = any(containers[k] == containers[i] for k in good)
-        kept.append(bool(near) and (len(good) == len(near) or same) or not near)
+        follows = headings[i] and after[i] in good
+        kept.append(not near or len(good) == len(near) or same or follows)
     return kept
 
 
@@ -199,10 +205,10 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = Blocks(page).found
-    labels = [first_pass(text, linked, bad) for text, linked, bad, _ in found]
+    labels = [first_pass(text, linked, bad) for text, linked, bad, _, _ in found]
     if CONTENT not in labels:  # a short page: blocks that nothing speaks against
         labels = [CONTENT if x == UNDECIDED else x for x in labels]
-    kept = second_pass(labels, [c for *_, c in found])
+    kept = second_pass(labels, [x[4] for x in found], [x[3] for x in found])
     return "\n\n".join(x[0] for x, k in zip(found, kept, strict=True) if k)
 
 
@@ -218,4 +224,5 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             texts = [main_text(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=EXTRACTED_ARROW)
 
+    bound_batches(pages.sparkSession)
     return pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].alias("html")).mapInArrow(run, EXTRACTED)
