@@ -102,7 +102,7 @@ _ANSWERED = f"""{ANSWERS_SQL}, j AS (SELECT *, {_J.format('age_group')} AS a, {_
     " CASE " + " ".join(f"WHEN contains(h, '{d}') THEN '{d}'" for d in "1234") + " WHEN contains(h, '5') THEN '5+' END AS household_size FROM k"
 )
 def answers_extracted(spark, sf):
-    return fx.answers(spark, sf).select("user_id", labels.answered("text").alias("x")).select("user_id", "x.*")
+    return labels.answered(fx.answers(spark, sf)).select("user_id", "age_group", "gender", "income", "household_size")
 
 
 @query(
