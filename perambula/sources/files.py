@@ -80,10 +80,10 @@ def read_headed_prompts(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.option("wholetext", True).text(path)
     head = r"(?m)^(?:===USER_\S+?===|USER_\S+?:)[ \t]*$"
     name = r"(?m)^(?:===)?USER_(\S+?)(?:===|:)[ \t]*$"
-    pairs = F.arrays_zip(F.regexp_extract_all("value", F.lit(name), F.lit(1)).alias("u"), F.slice(F.split("value", head), 2, (1 << 31) - 1).alias("p"))
-    headed = whole.where(F.col("value").rlike(head)).select(F.explode(pairs).alias("x"))
+    texts = F.slice(F.split("value", head), 2, (1 << 31) - 1)
+    pairs = F.zip_with(F.regexp_extract_all("value", F.lit(name), F.lit(1)), texts, lambda u, t: F.struct(u.alias("user_id"), strip(t).alias("prompt")))
+    first = whole.where(F.col("value").rlike(head)).select(F.inline(pairs))
     tabbed = whole.where(~F.col("value").rlike(head)).select(F.explode(F.split("value", r"\r?\n")).alias("line")).where(F.col("line").contains("\t"))
-    first = headed.select(F.col("x.u").alias("user_id"), strip("x.p").alias("prompt"))
     return first.unionByName(tabbed.select(strip(F.substring_index("line", "\t", 1)).alias("user_id"), strip(F.expr("substring(line, instr(line, '\t') + 1)")).alias("prompt")))
 
 
