@@ -70,18 +70,18 @@ def read_prompts(spark: SparkSession, path: str, separator: str = SEPARATOR) ->
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """(prompt) of a file cut where a line of 80 or more equals signs stands between empty lines."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     parts = whole.select(F.explode(F.split("value", r"\n{2,}={80,}\n{2,}")).alias("part")).select(strip("part").alias("prompt"))
     return parts.where("prompt <> ''")
 
 
 def read_headed_prompts(spark: SparkSession, path: str) -> DataFrame:
     """(user_id, prompt) of a file with `===USER_id===` or `USER_id:` heads; else of lines `id<tab>prompt`."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     head = r"(?m)^(?:===USER_\S+?===|USER_\S+?:)[ \t]*$"
     name = r"(?m)^(?:===)?USER_(\S+?)(?:===|:)[ \t]*$"
-    texts = F.slice(F.split("value", head), 2, (1 << 31) - 1)
-    pairs = F.zip_with(F.regexp_extract_all("value", F.lit(name), F.lit(1)), texts, lambda u, t: F.struct(u.alias("user_id"), strip(t).alias("prompt")))
+    texts = F.split("value", head)
+    pairs = F.transform(F.regexp_extract_all("value", F.lit(name), F.lit(1)), lambda u, i: F.struct(u.alias("user_id"), strip(F.get(texts, i + 1)).alias("prompt")))
     first = whole.where(F.col("value").rlike(head)).select(F.inline(pairs))
     tabbed = whole.where(~F.col("value").rlike(head)).select(F.explode(F.split("value", r"\r?\n")).alias("line")).where(F.col("line").contains("\t"))
     return first.unionByName(tabbed.select(strip(F.substring_index("line", "\t", 1)).alias("user_id"), strip(F.expr("substring(line, instr(line, '\t') + 1)")).alias("prompt")))

@@ -199,8 +199,8 @@ def test_prompt_files(spark, tmp_path):
     back = files.read_prompts(spark, str(tmp_path / "p"))
     assert sorted((r.user_id, r.prompt) for r in back.collect()) == [("u1", "User: u1\n\ntext"), ("u2", "User: u2\n\nmore")]
     (tmp_path / "b").mkdir()
-    (tmp_path / "b/x").write_text("one\n\n" + "=" * 85 + "\n\n\n\n" + "=" * 80 + "\n\ntwo\n")
-    assert [r.prompt for r in files.read_blocks(spark, str(tmp_path / "b")).collect()][-1] == "two"
+    (tmp_path / "b/x").write_text("one\n\n" + "=" * 85 + "\n\n \n\n" + "=" * 80 + "\n\ntwo\n")
+    assert [r.prompt for r in files.read_blocks(spark, str(tmp_path / "b")).collect()] == ["one", "two"]
     (tmp_path / "h").mkdir()
     (tmp_path / "h/x").write_text("===USER_a1===\nfirst\n\nUSER_b2:\nsecond\n")
     assert [(r.user_id, r.prompt) for r in files.read_headed_prompts(spark, str(tmp_path / "h")).collect()] == [("a1", "first"), ("b2", "second")]
