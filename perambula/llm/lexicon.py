@@ -14,6 +14,7 @@ import json
 import os
 import tempfile
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from perambula.llm.common import bound_batches
+
 #: Words in the lexicon at most, and the count from which a task reports a word.
 LEXICON_WORDS = 50_000
 REPORT_FROM = 4
@@ -78,6 +81,89 @@ class Merger:
         return [self.vocab[p] for p in parts]
 
 
+class Merges:
+    """The exact merges of many words at once.
+
+    Symbols of all words stand in one array. Each round looks up all neighbouring pairs, merges in every
+    word its pairs of least rank, from the left, and sets aside words that have none left.
+    """
+
+    NONE = np.int64(1) << 62
+
+    def __init__(self, merger: Merger):
+        vocab, self.wide = merger.vocab, np.int64(1 << 20)
+        ordered = sorted(merger.ranks.items(), key=lambda x: x[1])
+        self.pair = np.array([vocab[a] * int(self.wide) + vocab[b] for (a, b), _ in ordered] + [-1], np.int64)
+        self.made = np.array([vocab[a + b] for (a, b), _ in ordered] + [-1], np.int64)
+        self.inner = np.array([vocab[x] for x in merger.letters], np.int64)
+        self.last = np.array([vocab[x + merger.suffix] for x in merger.letters], np.int64)
+        self.tables: list[tuple[np.uint64, np.ndarray]] = []
+        left = np.arange(len(ordered))
+        for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+            if not len(left):
+                break
+            slot = self._slot(self.pair[left], np.uint64(factor))
+            table = np.full(1 << 19, len(ordered), np.int64)
+            table[slot[::-1]] = left[::-1]
+            self.tables.append((np.uint64(factor), table))
+            left = left[table[slot] != left]
+        self.rest = {int(self.pair[i]): int(i) for i in left}
+
+    @staticmethod
+    def _slot(keys: np.ndarray, factor: np.uint64) -> np.ndarray:
+        return ((keys.astype(np.uint64) * factor) >> np.uint64(45)).astype(np.int64)
+
+    def ranks(self, keys: np.ndarray) -> np.ndarray:
+        found = np.full(len(keys), self.NONE)
+        for factor, table in self.tables:
+            at = table[self._slot(keys, factor)]
+            hit = self.pair[at] == keys
+            found[hit] = at[hit]
+        if self.rest:
+            for i, k in enumerate(keys.tolist()):
+                if k in self.rest:
+                    found[i] = self.rest[k]
+        return found
+
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, how many each has)."""
+        coded = [w.encode("utf-8", "surrogatepass") for w in words]
+        n = np.fromiter(map(len, coded), np.int64, len(coded))
+        data = np.frombuffer(b"".join(coded), np.uint8)
+        flat = self.inner[data]
+        ends = np.cumsum(n)
+        flat[ends - 1] = self.last[data[ends - 1]]
+        word = np.repeat(np.arange(len(words)), n)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(flat):
+            rank = np.full(len(flat), self.NONE)
+            inside = np.flatnonzero(word[:-1] == word[1:])
+            rank[inside] = self.ranks(flat[inside] * self.wide + flat[inside + 1])
+            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            best = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(flat))))
+            over = best == self.NONE
+            if over.any():
+                done.append((word[over], flat[over]))
+                flat, word, rank, best = flat[~over], word[~over], rank[~over], best[~over]
+                if not len(flat):
+                    break
+            chosen = rank == best
+            at = np.flatnonzero(chosen)
+            fresh = np.concatenate([[True], np.diff(at) > 1])  # of runs like a a a only every other pair
+            offset = np.arange(len(at)) - np.repeat(np.flatnonzero(fresh), np.diff(np.append(np.flatnonzero(fresh), len(at))))
+            at = at[offset % 2 == 0]
+            flat[at] = self.made[rank[at]]
+            keep = np.ones(len(flat), bool)
+            keep[at + 1] = False
+            flat, word = flat[keep], word[keep]
+        if not done:
+            return flat, n
+        word = np.concatenate([w for w, _ in done])
+        flat = np.concatenate([f for _, f in done])
+        order = np.argsort(word, kind="stable")
+        return flat[order], np.bincount(word, minlength=len(words))
+
+
 class Splitter:
     """A run without white space to the words that are merged on their own, and special tokens as they are."""
 
@@ -98,6 +184,25 @@ class Splitter:
         run = "".join([c.lower() for c in run]) if "Σ" in run else run.lower()
         return self.word.findall(run)
 
+    MARKS = ".,;:!?%$#&*|)(\"-"
+
+    def quick(self, run: str) -> list[str] | None:
+        """As plain, of letters with marks at their end; None for other runs."""
+        core = run if run.isalpha() else run.rstrip(self.MARKS)
+        if not core.isalpha():
+            return None
+        tail = run[len(core) :]
+        if not core.isascii():
+            core = unicodedata.normalize("NFC", core)
+            if "Σ" in core:
+                return None
+            core = core.lower()
+            if not core.isalpha():
+                return None
+        else:
+            core = core.lower()
+        return [core, tail] if tail else [core]
+
     def split(self, run: str) -> list[tuple[str, bool]]:
         if self.special and any(m in run for m in self.marks) and self.special.search(run):
             out: list[tuple[str, bool]] = []
@@ -214,9 +319,6 @@ class Lexicon:
             k += 1
         return place
 
-    def ids_at(self, place: int) -> list[int]:
-        return self.ids[self.ends[place - 1] if place else 0 : self.ends[place]].tolist()
-
 
 # Encoding ------------------------------------------------------------------------------------
 
@@ -231,59 +333,102 @@ def runs_of(text: str) -> list[str]:
     return text.split()
 
 
+class Runs(dict):
+    """Run to number; a new run gets the next one and waits in `new`."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, run: str) -> int:
+        self.new.append(run)
+        found = self[run] = len(self)
+        return found
+
+
 class Encoder:
-    """Runs to ids and to decoded text, remembered up to a bound."""
+    """Runs to ids, remembered up to a bound; words are looked up in the lexicon, and merged if it lacks them."""
 
     def __init__(self, path: str, image: bytes, remember: int = REMEMBER):
         self.merger = Merger(path)
+        self.merges = Merges(self.merger)
         self.splitter = Splitter(self.merger.specials)
         self.lexicon = Lexicon(image)
-        self.names = {i: w for w, i in self.merger.vocab.items()} | {i: w for w, i in self.merger.specials.items()}
+        names = {i: w for w, i in self.merger.vocab.items()} | {i: w for w, i in self.merger.specials.items()}
+        coded = [(names.get(i, "") + " ").encode() for i in range(max(names) + 1)]
+        self.name_bytes = np.frombuffer(b"".join(coded), np.uint8)
+        self.name_ends = np.cumsum([len(c) for c in coded])
+        self.name_lengths = np.array([len(c) for c in coded], np.int64)
         self.remember = remember
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.pool: list[int] = []
-        self.starts: list[int] = []
-        self.said: list[str] = []
-
-    def learn(self, runs: Iterable[str]) -> None:
-        runs = [r for r in runs if r not in self.place]
-        if len(self.place) + len(runs) > self.remember and self.place:
-            raise MemoryError
-        cut = [self.splitter.split(r) for r in runs]
-        words = list({w for parts in cut for w, special in parts if not special})
-        ids: dict[str, list[int]] = {}
-        for w, p in zip(words, self.lexicon.find(words).tolist(), strict=True):
-            ids[w] = self.lexicon.ids_at(p) if p >= 0 else self.merger.merge(w)
-        names = self.names
-        for r, parts in zip(runs, cut, strict=True):
-            own = [i for w, special in parts for i in ([self.merger.specials[w]] if special else ids[w])]
-            self.place[r] = len(self.said)
-            self.starts.append(len(self.pool))
-            self.pool += own
-            self.said.append(" ".join([names[i] for i in own]))
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str]]:
-        """(ids, decoded text) of each text."""
-        cut = [runs_of(t) for t in texts]
-        distinct = set().union(*cut) if cut else set()
-        try:
-            self.learn(distinct)
-        except MemoryError:
+        self.place = Runs()
+        self.known: dict[str, tuple[int, int]] = {}  # words to start and length in pool
+        self.pool, self.starts, self.lengths = array("I"), array("q"), array("q")
+
+    def learn(self) -> None:
+        """Ids of the runs that are new."""
+        known, specials = self.known, self.merger.specials
+        quick, split = self.splitter.quick, self.splitter.split
+        cut = [quick(r) or split(r) for r in self.place.new]
+        words = list({w for parts in cut for w in (parts if type(parts[0]) is str else [w for w, special in parts if not special]) if w not in known})
+        if words:
+            places = self.lexicon.find(words)
+            inside = np.flatnonzero(places >= 0)
+            ends = self.lexicon.ends
+            for k, p in zip(inside.tolist(), places[inside].tolist(), strict=True):
+                a, b = (int(ends[p - 1]) if p else 0), int(ends[p])
+                known[words[k]] = (len(self.pool), b - a)
+                self.pool.frombytes(self.lexicon.ids[a:b].astype(np.uint32).tobytes())
+            unseen = [words[k] for k in np.flatnonzero(places < 0).tolist()]
+            if unseen:
+                flat, n = self.merges.merge(unseen)
+                at = (np.cumsum(n) - n + len(self.pool)).tolist()
+                self.pool.frombytes(flat.astype(np.uint32).tobytes())
+                known.update(zip(unseen, zip(at, n.tolist(), strict=True), strict=True))
+        pool, starts, lengths = self.pool, self.starts, self.lengths
+        for parts in cut:
+            if len(parts) == 1 and type(parts[0]) is str:
+                start, n = known[parts[0]]
+            else:
+                start = len(pool)
+                for part in parts:
+                    w, special = (part, False) if type(part) is str else part
+                    if special:
+                        pool.append(specials[w])
+                    else:
+                        a, n = known[w]
+                        pool.extend(pool[a : a + n])
+                n = len(pool) - start
+            starts.append(start)
+            lengths.append(n)
+        self.place.new = []
+        if len(known) > self.remember:
+            known.clear()
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bytes]]:
+        """(ids, decoded text in UTF-8) of each text."""
+        if len(self.place) > self.remember:
             self.forget()
-            self.learn(distinct)
-        starts = np.array([*self.starts, len(self.pool)], np.int64)
-        pool = np.array(self.pool, np.uint32)
-        get, said = self.place.__getitem__, self.said
-        for runs in cut:
-            at = list(map(get, runs))
-            where = np.array(at, np.int64)
-            n = starts[where + 1] - starts[where]
-            first = np.cumsum(n) - n
-            ids = pool[np.repeat(starts[where] - first, n) + np.arange(int(n.sum()))] if len(at) else pool[:0]
-            yield ids, " ".join([said[k] for k in at if said[k]])
+        get = self.place.__getitem__
+        parts = []
+        for t in texts:
+            runs = runs_of(t)
+            parts.append(np.fromiter(map(get, runs), np.int64, len(runs)))
+        self.learn()
+        starts, lengths, pool = np.array(self.starts, np.int64), np.array(self.lengths, np.int64), np.array(self.pool, np.uint32)
+        for where in parts:
+            n = lengths[where]
+            stop = np.cumsum(n)
+            ids = pool[np.repeat(starts[where] - stop + n, n) + np.arange(int(stop[-1]) if len(stop) else 0)]
+            yield ids, self.decode(ids)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The tokens' names with a space between them, as a tokenizer without a decoder joins them."""
+        n = self.name_lengths[ids]
+        stop = np.cumsum(n)
+        total = int(stop[-1]) if len(stop) else 0
+        return self.name_bytes[np.repeat(self.name_ends[ids] - stop, n) + np.arange(total)].tobytes()[:-1]
 
 
 def grouped(batches: Iterator[pa.RecordBatch], chars: int = BATCH_CHARS) -> Iterator[tuple[list, list[str]]]:
@@ -341,6 +486,7 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
     Null and empty texts have no ids and decode to an empty text. Null ids and repeated rows are kept. An
     empty table gives an empty lexicon and no row.
     """
+    bound_batches(docs.sparkSession)
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     merger = Merger(tokenizer_path)
     words = frequent_words(src.select("text"), tokenizer_path, lexicon_words)
@@ -351,7 +497,7 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
         for ids, texts in grouped(batches):
             found = list(encoder.encode(texts))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([x.tobytes() for x, _ in found], pa.binary()), pa.array([len(x) for x, _ in found], pa.int64()), pa.array([s for _, s in found], pa.string())],
+                [pa.array(ids, pa.int64()), pa.array([x.tobytes() for x, _ in found], pa.binary()), pa.array([len(x) for x, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary()).cast(pa.string())],
                 schema=ENCODED_ARROW,
             )
 
