@@ -32,10 +32,10 @@ ONE_SHARD = 3000
 SHARD = 1500
 #: The sample that pivots come from, over all labels.
 PIVOTS_MOST = 4096
-NEAREST = 3
+NEAREST = 2
 CLUSTER = 400
 CANDIDATES, DEGREE, ALPHA = 48, 20, 1.2
-BEAM = 16
+BEAM = 8
 SLACK = 0.06
 AUDITED, MIN_RECALL = 24, 0.97
 
