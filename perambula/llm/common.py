@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text in a block. A longer document is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Bytes in an Arrow batch that goes to a Python worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: An estimate from here on means that Spark knows nothing of a plan's size.
 UNKNOWN_BYTES = 1 << 57
 #: Spark's own limit for the buckets of a table.
@@ -87,6 +87,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def of_worker(key: tuple, make: Callable):
+    """What this Python worker made under the key in an earlier task, or makes now. Holds bounded things only."""
+    import sys
+
+    kept = sys.__dict__.setdefault("_perambula_worker", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 # Blocks --------------------------------------------------------------------------------------
 
 BLOCK = T.StructType(
@@ -300,6 +310,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def stir(x: np.ndarray) -> np.ndarray:
+    """A lighter mix, for hashes that are sums of random numbers already."""
+    return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def runs(least: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of runs of windows with the same anchor, each within one document.
+
+    least: the anchor of the window at each place; starts and ends: of the documents, each with a window.
+    """
+    inside = np.ones(len(least), bool)
+    for e in ends.tolist():
+        inside[e - window + 1 : e] = False
+    mark = np.empty(len(least), bool)
+    mark[:1] = True
+    np.not_equal(least[1:], least[:-1], out=mark[1:])
+    mark[starts] = True
+    first = np.flatnonzero(mark & inside)
+    stops = np.append(np.flatnonzero(mark | ~inside), len(least))
+    return first, stops[np.searchsorted(stops, first, side="right")] - first
+
+
 class Rolling:
     """Hashes of all windows of any width over a sequence of uint64 symbols, modulo 2**64."""
 
@@ -309,11 +341,13 @@ class Rolling:
         self.sums = np.zeros(self.n + 1, np.uint64)
         np.cumsum(symbols * powers(base, self.n), out=self.sums[1:])
 
-    def windows(self, width: int) -> np.ndarray:
+    def windows(self, width: int, finish=mix) -> np.ndarray:
         if self.n < width:
             return np.zeros(0, np.uint64)
         inverse = INVERSE if self.base == BASE else pow(self.base, -1, 1 << 64)
-        return mix((self.sums[width:] - self.sums[:-width]) * powers(inverse, self.n - width + 1))
+        found = self.sums[width:] - self.sums[:-width]
+        found *= powers(inverse, self.n - width + 1)
+        return finish(found)
 
 
 def window_min(a: np.ndarray, width: int) -> np.ndarray:
@@ -341,20 +375,6 @@ def split_by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
             yield int(bucket[a]), slice(int(a), int(b))
 
 
-class WordHash(dict):
-    """Word bytes to XXH64; emptied when it has grown to `most` words."""
-
-    most = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.most:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
 # Recurring anchors ---------------------------------------------------------------------------
 
 
@@ -374,12 +394,12 @@ def ask_anchors(block_id: int, anchors: np.ndarray, docs: np.ndarray, n: int) ->
 
 def distinct_anchors(anchors: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct anchors, and whether more than one document of the block has each."""
-    order = np.lexsort((docs, anchors))
+    order = np.argsort(anchors)
     a, d = anchors[order], docs[order]
     fresh = np.ones(len(a), bool)
     fresh[1:] = a[1:] != a[:-1]
     starts = np.flatnonzero(fresh)
-    change = np.zeros(len(a), bool)
+    change = np.zeros(len(a), bool)  # in any order, some neighbours differ if not all are the same
     change[1:] = (d[1:] != d[:-1]) & ~fresh[1:]
     many = np.add.reduceat(change, starts) > 0 if len(a) else fresh
     return a[starts], many

@@ -19,6 +19,8 @@ the block table three times and never shuffled. A hot passage comes once per blo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,11 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from perambula.llm.common import (
+    INVERSE,
     MESSAGE,
     Block,
     Blocks,
     Rolling,
-    WordHash,
     answers_of,
     ask_anchors,
     bucket_of,
@@ -38,10 +40,14 @@ from perambula.llm.common import (
     first_ids,
     is_in,
     messages,
+    mix,
+    powers,
     recurring_anchors,
     reduce_anchors,
     rows_of,
+    runs,
     split_by_bucket,
+    stir,
     window_min,
 )
 
@@ -63,36 +69,63 @@ RESULT_ARROW = pa.schema(
 )
 
 
+#: Bytes that are cut into words together.
+PIECE = 1 << 17
+SPACES = np.zeros(256, bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
+BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def pieces(block: Block, which: np.ndarray, most: int = PIECE) -> Iterator[np.ndarray]:
+    """The documents in groups of about so many bytes."""
+    group, size = [], 0
+    for i in which.tolist():
+        n = int(block.ends[i] - block.starts[i])
+        if group and size + n > most:
+            yield np.array(group)
+            group, size = [], 0
+        group.append(i)
+        size += n
+    if group:
+        yield np.array(group)
+
+
 class Words:
-    """The words of a block's documents that have a window, as one sequence."""
-
-    def __init__(self, block: Block, which: np.ndarray, hashes: WordHash, window: int):
-        get = hashes.__getitem__
-        self.docs, parts, self.words = [], [], {}
-        for i in which:
-            words = block.text(i).split()
-            if len(words) >= window:
-                self.docs.append(i)
-                self.words[i] = words
-                parts.append(np.fromiter(map(get, words), np.uint64, len(words)))
-        self.docs = np.array(self.docs, np.int64)
-        lengths = np.array([len(p) for p in parts], np.int64)
+    """The words of a block's documents that have a window, as one sequence of hashes.
+
+    Words are found and hashed over the bytes of some documents at a time; no word becomes an object.
+    """
+
+    def __init__(self, block: Block, which: np.ndarray, window: int):
+        docs, symbols, counts = [], [], []
+        for group in pieces(block, which):
+            data = np.frombuffer(b" ".join([block.text(i) for i in group]) + b" ", np.uint8)
+            begins = np.cumsum([0, *[int(block.ends[i] - block.starts[i]) + 1 for i in group[:-1]]])
+            space = SPACES[data]
+            edges = np.diff(space.view(np.int8), prepend=1)
+            starts, stops = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+            sums = Rolling(BYTES[data]).sums
+            hashes = mix((sums[stops] - sums[starts]) * powers(INVERSE, len(data))[starts])
+            of = np.searchsorted(begins, starts, side="right") - 1
+            n = np.bincount(of, minlength=len(group))
+            enough = n >= window
+            docs.append(group[enough])
+            counts.append(n[enough])
+            symbols.append(hashes[enough[of]])
+        self.docs = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+        lengths = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        self.symbols = np.concatenate(symbols) if symbols else np.zeros(0, np.uint64)
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
-        self.symbols = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        self.doc_of = np.repeat(np.arange(len(parts)), lengths)
+        self.doc_of = np.repeat(np.arange(len(lengths)), lengths)
         self.room = np.repeat(self.ends, lengths) - np.arange(len(self.symbols))  # words from here to the document's end
 
     def anchors(self, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Phrase hashes at all places; for each window its anchor's hash; the window's document."""
-        hashes = Rolling(self.symbols).windows(phrase)
+        """Phrase hashes at all places; each run of windows' anchor, mixed; the run's document."""
+        hashes = Rolling(self.symbols).windows(phrase, stir)
         least = window_min(hashes, window - phrase + 1)
-        valid = self.room[: len(least)] >= window
-        docs = self.doc_of[: len(least)][valid]
-        least = least[valid]
-        change = np.ones(len(least), bool)
-        change[1:] = (least[1:] != least[:-1]) | (docs[1:] != docs[:-1])
-        return hashes, least[change], docs[change]
+        first, _ = runs(least, self.starts, self.ends, window) if len(least) else (self.starts[:0], None)
+        return hashes, mix(least[first]), self.doc_of[first]  # least hashes are small; mixed, they spread over all buckets
 
 
 def hits(words: Words, hashes: np.ndarray, recurring: np.ndarray, phrase: int) -> np.ndarray:
@@ -104,6 +137,7 @@ def hits(words: Words, hashes: np.ndarray, recurring: np.ndarray, phrase: int) -
     code = (words.symbols % np.uint64(0x110000 - 0x800 - 1)).astype(np.uint32) + np.uint32(1)
     code[code >= 0xD800] += np.uint32(0x800)
     text = code.tobytes().decode("utf-32-le")
+    hashes = mix(hashes)
     at = np.flatnonzero(is_in(hashes, recurring) & (words.room[: len(hashes)] >= phrase))
     kinds, first = np.unique(hashes[at], return_index=True)
     automaton = ahocorasick.Automaton()
@@ -215,18 +249,16 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, phrase: int
         return block, first, np.flatnonzero((first == block.ids) & (block.ends - block.starts >= 2 * window - 1))
 
     def ask_phrases(batches):
-        hashes = WordHash()
         for row in rows_of(batches):
             block, _, which = active(row)
-            words = Words(block, which, hashes, window)
+            words = Words(block, which, window)
             _, anchors, of = words.anchors(window, phrase)
             yield ask_anchors(block.id, anchors, words.docs[of] if len(of) else of, n)
 
     def locate(batches):
-        hashes = WordHash()
         for row in rows_of(batches):
             block, _, which = active(row)
-            words = Words(block, which, hashes, window)
+            words = Words(block, which, window)
             at_phrase, anchors, of = words.anchors(window, phrase)
             recurring = recurring_anchors(anchors, words.docs[of] if len(of) else of, answers_of(row, "phrases"), n)
             starts = candidates(words, hits(words, at_phrase, recurring, phrase), window, phrase)
@@ -235,14 +267,12 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, phrase: int
                 yield ask_windows(block.id, h1[starts], h2[starts], block.ids[words.docs[words.doc_of[starts]]], n)
 
     def finish(batches):
-        hashes = WordHash()
         for row in rows_of(batches):
             block, first, which = active(row)
             answers = answers_of(row, "windows")
             covered: dict[int, np.ndarray] = {}
-            words = None
             if answers:
-                words = Words(block, which, hashes, window)
+                words = Words(block, which, window)
                 h1, h2 = window_hashes(words, window)
                 valid = np.flatnonzero(words.room[: len(h1)] >= window)
                 starts = valid[repeated(h1[valid], h2[valid], block.ids[words.docs[words.doc_of[valid]]], answers)]
@@ -252,15 +282,15 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, phrase: int
                 gone = np.cumsum(step[:-1]) > 0
                 for k in np.unique(words.doc_of[starts]):
                     covered[int(words.docs[k])] = gone[words.starts[k] : words.ends[k]]
-            yield pa.RecordBatch.from_pylist([_settle(block, i, first, words, covered.get(i), window) for i in range(len(block))], RESULT_ARROW)
+            yield pa.RecordBatch.from_pylist([_settle(block, i, first, covered.get(i), window) for i in range(len(block))], RESULT_ARROW)
 
     phrases = blocks.exchange(blocks.attach(holders=holders).drop("carried").mapInArrow(ask_phrases, MESSAGE), reduce_anchors)
     windows = blocks.exchange(blocks.attach(holders=holders, phrases=phrases).drop("carried").mapInArrow(locate, MESSAGE), reduce_windows)
     return blocks.attach(holders=holders, windows=windows).mapInArrow(finish, RESULT)
 
 
-def _settle(block: Block, i: int, first: np.ndarray, words: Words | None, gone: np.ndarray | None, window: int) -> dict:
-    own = (words.words.get(i) if words else None) or block.text(i).split()
+def _settle(block: Block, i: int, first: np.ndarray, gone: np.ndarray | None, window: int) -> dict:
+    own = block.text(i).split()
     if first[i] < block.ids[i] and len(own) >= window:
         gone = np.ones(len(own), bool)
     spans: list = []
