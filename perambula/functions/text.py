@@ -150,9 +150,13 @@ def allowed_answer(value: Column | str, field: str) -> Column:
     v = F.lower(strip(F.coalesce(col(value).cast("string"), F.lit(""))))
     for old, new in (("prefer not to say", "female"), ("other", "male"), ("5 or more", "5+"), (">16000", "16001+"), ("16000+", "16001+")):
         v = F.replace(v, F.lit(old), F.lit(new))
-    close = F.get(F.filter(F.array(*[F.lit(a) for a in allowed]), lambda a: v.contains(a) | a.contains(v)), F.lit(0))
-    known = F.when(v == "", None).when(v.isin(*allowed), v).otherwise(close)
-    return F.struct(F.coalesce(known, F.lit(default)).alias("value"), known.isNull().alias("defaulted"))
+
+    def judge(v: Column) -> Column:
+        close = F.get(F.filter(F.array(*[F.lit(a) for a in allowed]), lambda a: v.contains(a) | a.contains(v)), F.lit(0))
+        known = F.when(v == "", None).when(v.isin(*allowed), v).otherwise(close)
+        return F.struct(F.coalesce(known, F.lit(default)).alias("value"), known.isNull().alias("defaulted"))
+
+    return F.get(F.transform(F.array(v), judge), F.lit(0))  # the text is made once
 
 
 def answer_lines(text: Column | str) -> Column:
