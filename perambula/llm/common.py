@@ -114,20 +114,43 @@ BLOCK = T.StructType(
 LAST = np.iinfo(np.int64).max
 
 
-def build_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def spark_bucket(ids: np.ndarray, n: int) -> np.ndarray:
+    """The bucket that Spark gives a long: Murmur3 of its halves with seed 42, modulo n."""
+    u = lambda x: np.uint32(x)
+    turn = lambda x, k: (x << u(k)) | (x >> u(32 - k))
+    raw = ids.astype(np.int64).view(np.uint64)
+    h = np.full(len(ids), 42, np.uint32)
+    for half in ((raw & np.uint64(0xFFFFFFFF)).astype(np.uint32), (raw >> np.uint64(32)).astype(np.uint32)):
+        h = turn(h ^ (turn(half * u(0xCC9E2D51), 15) * u(0x1B873593)), 13) * u(5) + u(0xE6546B64)
+    h ^= u(8)
+    h = (h ^ (h >> u(16))) * u(0x85EBCA6B)
+    h = (h ^ (h >> u(13))) * u(0xC2B2AE35)
+    return (h ^ (h >> u(16))).view(np.int32) % n
+
+
+def ids_in_one_bucket(task: int, n: int) -> Iterator[int]:
+    """Block ids of a task that all fall into one bucket, so that the task writes one file."""
+    at = task << 36
+    while True:
+        ids = np.arange(at, at + 8192)
+        yield from ids[spark_bucket(ids, n) == task % n].tolist()
+        at += 8192
+
+
+def build_blocks(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     schema = pa.schema(
         [("block_id", pa.int64()), ("ids", pa.binary()), ("no_id", pa.binary()), ("digests", pa.binary()), ("ends", pa.binary()), ("data", pa.binary()), ("carried", pa.list_(pa.string()))]
     )
-    base = TaskContext.get().partitionId() << 28
+    names = ids_in_one_bucket(TaskContext.get().partitionId(), n)
     rows: list = []
-    size, made = 0, 0
+    size = 0
 
     def block() -> pa.RecordBatch:
         texts = [x[1] for x in rows]
         row = {
-            "block_id": base + made,
+            "block_id": next(names),
             "ids": np.array([LAST if x[0] is None else x[0] for x in rows], np.int64).tobytes(),
             "no_id": bytes(x[0] is None for x in rows),
             "digests": b"".join(xxhash.xxh3_128_digest(t) for t in texts),
@@ -143,7 +166,7 @@ def build_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = t.as_py() or b""
             if rows and size + len(t) > BLOCK_BYTES:
                 yield block()
-                rows, size, made = [], 0, made + 1
+                rows, size = [], 0
             rows.append((i, t, c))
             size += len(t)
     if rows:
@@ -159,10 +182,11 @@ class Blocks:
         carried = F.to_json(F.struct(*[docs[c] for c in carry]), {"ignoreNullFields": "false"}) if carry else F.lit(None).cast("string")
         rows = docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].alias("t"), carried.alias("c"))
         self.n = min(MOST_BUCKETS, max(shuffle_partitions(spark), input_bytes(docs) // BUCKET_BYTES))
-        self.buckets = 2 * self.n
+        self.buckets = 4 * self.n
         self.name = f"perambula_blocks_{uuid.uuid4().hex}"
+        n = self.n
         (
-            rows.mapInArrow(build_blocks, BLOCK)
+            rows.mapInArrow(lambda batches: build_blocks(batches, n), BLOCK)
             .write.format("parquet")
             .option("path", new_path(spark, "blocks"))
             .option("compression", "zstd")
@@ -188,6 +212,7 @@ class Blocks:
             order = np.argsort(table.column("block_id").to_numpy(), kind="stable")
             table = table.take(pa.array(order))
             out = reduce([x.as_py() for x in table.column("payload")])
+            give_back()
             return pa.table({"bucket": table.column("bucket"), "block_id": table.column("block_id"), "payload": pa.array(out, pa.binary())})
 
         return requests.repartition(self.n, "bucket").groupBy("bucket").applyInArrow(run, MESSAGE)
@@ -236,6 +261,17 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
+    give_back()
+
+
+def give_back() -> None:
+    """Returns a worker's free memory to the system: the worker outlives its task."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def answers_of(row: dict, name: str) -> dict[int, bytes]:

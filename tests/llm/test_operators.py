@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from perambula.llm import html_text, lexicon, packing, phrases, quality, queries, simhash, suffixes, token_files, vectors, warc
+from perambula.llm import common, html_text, lexicon, packing, phrases, quality, queries, simhash, suffixes, token_files, vectors, warc
 from perambula.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -110,6 +110,16 @@ def test_suffix_arrays():
             assert shared[a] == n
 
 
+def test_block_ids_fall_into_one_bucket(spark):
+    for n in (1, 7, 49, 211):
+        ids = [0, 1, -1, 5, 1 << 40, (3 << 36) + 17, -(1 << 62)]
+        df = spark.createDataFrame([(i,) for i in ids], "i long")
+        want = {r.i: r.b for r in df.select("i", F.expr(f"pmod(hash(i), {n})").alias("b")).collect()}
+        assert dict(zip(ids, common.spark_bucket(np.array(ids), n).tolist(), strict=True)) == want
+        names = common.ids_in_one_bucket(5, n)
+        assert {int(x) for x in common.spark_bucket(np.array([next(names) for _ in range(20)]), n)} == {5 % n}
+
+
 def brute_fingerprint(text):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     grams = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
