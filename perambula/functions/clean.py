@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value), with the value made once however often make uses it."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(col(c), r"^[\s ]+|[\s ]+$", "")

@@ -144,6 +144,12 @@ def recovered_json(text: Column | str) -> Column:
     return F.get(F.filter(F.transform(candidates, read), lambda x: x.isNotNull()), F.lit(0))
 
 
+def greedy_json(text: Column | str) -> Column:
+    """What stands from the first to the last brace, if it is JSON; else null."""
+    found = F.regexp_extract(col(text), r"(?s)(\{.*\})", 1)
+    return F.when(F.try_parse_json(found).isNotNull(), found)
+
+
 def allowed_answer(value: Column | str, field: str) -> Column:
     """(value, defaulted) struct: an allowed value, the first that contains it or is in it, or the default."""
     allowed, default = schema.ALLOWED[field], schema.DEFAULTS[field]

@@ -64,6 +64,12 @@ def majority(df: DataFrame, c: str) -> DataFrame:
     return counts.agg(F.bround(F.max("n") / F.sum("n"), 6).alias("majority_share"))
 
 
+def paired(truth: DataFrame, predicted: DataFrame, fields: list[str], key: str = "user_id") -> DataFrame:
+    """Inner join of truth and predictions, each field as <field>_true and <field>_pred."""
+    t = truth.select(key, *[F.col(f).alias(f"{f}_true") for f in fields])
+    return t.join(predicted.select(key, *[F.col(f).alias(f"{f}_pred") for f in fields]), key)
+
+
 def class_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """(class, precision, recall, f1, support) of each class, then accuracy, macro and weighted averages; empty cases are 0."""
     rows = df.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull()).select(F.col(truth).cast("string").alias("t"), F.col(predicted).cast("string").alias("p"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from perambula import schema
 from perambula.functions import clean, geo, text
 from perambula.operators.mobility import first_by
 
@@ -106,6 +107,28 @@ def build_pois(*layers: DataFrame) -> DataFrame:
     return numbered(df, "category", "name", "code", "x", "y").select("id", "name", "code", "category", "x", "y")
 
 
+def osm_pois(layers: dict[str, DataFrame]) -> DataFrame:
+    """Points of interest of exported OpenStreetMap layers by name; absent layers are left out.
+
+    Natural points stay without trees, natural areas are beaches only, traffic points and areas are parking
+    only. Area layers have a closed ring of points, and stand at its centroid.
+    """
+    rules = {
+        "natural": F.col("fclass") != "tree",
+        "natural_areas": F.col("fclass") == "beach",
+        "traffic": F.col("fclass").isin(*schema.PARKING),
+        "traffic_areas": F.col("fclass").isin(*schema.PARKING),
+    }
+    kept = []
+    for name, layer in layers.items():
+        part = layer.where(rules[name]) if name in rules and "fclass" in layer.columns else layer
+        if "ring" in part.columns:
+            x, y = geo.ring_centroid("ring")
+            part = part.withColumns({"x": x, "y": y}).drop("ring")
+        kept.append(part)
+    return build_pois(*kept)
+
+
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """With id 0, 1, ... in order. The sort stays in parallel; the driver gets one count a partition."""
     placed = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()

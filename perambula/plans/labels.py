@@ -190,6 +190,35 @@ def label_confusion(spark, sf):
     return evaluate.confusion(fx.read(spark, sf, "labels"), "quality", "toxic", ["0", "1"])
 
 
+@query(f"WITH {CLASSES_SQL}, {ANSWERS_SQL} SELECT c.user_id, c.t AS class_true, d.p AS class_pred FROM cls c JOIN cls d ON c.user_id = d.user_id WHERE c.user_id % 2 = 0 AND d.user_id % 3 = 0")
+def truth_prediction_join(spark, sf):
+    c = fx.classes(spark, sf)
+    truth = c.where("user_id % 2 = 0").select("user_id", F.col("t").alias("class"))
+    return evaluate.paired(truth, c.where("user_id % 3 = 0").select("user_id", F.col("p").alias("class")), ["class"])
+
+
+@query(
+    "WITH k AS (SELECT c_custkey AS user_id, c_custkey % 6 AS k FROM customer) SELECT user_id, CASE k WHEN 0 THEN 'female' WHEN 1 THEN 'male' WHEN 2 THEN 'other' END AS gender,"
+    " CASE k WHEN 0 THEN '<4000' WHEN 1 THEN '4001-8000' WHEN 2 THEN '8001-12000' WHEN 3 THEN '12001-16000' WHEN 4 THEN '>16000' END AS income,"
+    " CASE k WHEN 0 THEN '5+' WHEN 1 THEN '3' WHEN 2 THEN '5+' WHEN 4 THEN '2' END AS household_size, CASE k WHEN 0 THEN '18-25' WHEN 1 THEN '26-35' WHEN 2 THEN '66+' WHEN 3 THEN '36-45' END AS age_group FROM k"
+)
+def normalized_labels(spark, sf):
+    k = F.col("c_custkey") % 6
+
+    def said(*x: str):
+        return F.when(k == 0, x[0]).when(k == 1, x[1]).when(k == 2, x[2]).when(k == 3, x[3]).when(k == 4, x[4]).otherwise(x[5])
+
+    answers = fx.read(spark, sf, "customer").select(
+        F.col("c_custkey").alias("user_id"),
+        said(" Female", "m", "non-binary", "unknown", "", "x").alias("gender"),
+        said("less than 4000", "4000-8000", "8001-12000 CHF", "12001-16000", "more than 16000", "none").alias("income"),
+        said("more than 5", "3.0", "7", "0", "2 persons", "n/a").alias("household_size"),
+        said("18-24", "28", "67+", "36 - 40", "old", "").alias("age_group"),
+    )
+    made = {"gender": labels.evaluated_gender, "income": labels.evaluated_income, "household_size": labels.evaluated_household, "age_group": labels.evaluated_age}
+    return answers.select("user_id", *[f(c).alias(c) for c, f in made.items()])
+
+
 # Prompts and records -------------------------------------------------------------------------
 
 
@@ -241,6 +270,19 @@ def predicted_answers(spark, sf):
     return inference.parsed(said).select("user_id", "age_group", "gender", "household_size", "household_income_level", "error")
 
 
+@query("SELECT doc_id, round_even(len(string_split(trim(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')), ' ')) * 1.3::DOUBLE, 6) + 0.0 AS tokens FROM documents")
+def approximate_tokens(spark, sf):
+    return fx.read(spark, sf, "documents").select("doc_id", text.approximate_tokens("text").cast("double").alias("tokens"))
+
+
+@query("SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS VARCHAR) END AS user_id, CASE WHEN c_custkey % 3 = 0 THEN 'a; b; c' ELSE 'a' END AS nearby FROM customer")
+def prompt_fields(spark, sf):
+    key = F.col("c_custkey")
+    said = F.when(key % 2 == 0, F.concat(F.lit("User:  "), key.cast("string"), F.lit("\n\nMobility evidence:\nx"))).otherwise(F.lit("no id"))
+    places = F.when(key % 3 == 0, F.lit(" a;b ; c;d")).otherwise(F.lit("a"))
+    return fx.read(spark, sf, "customer").select(key.alias("k"), text.prompt_user(said).alias("user_id"), text.nearby(places).alias("nearby"))
+
+
 # Models --------------------------------------------------------------------------------------
 
 
@@ -253,6 +295,12 @@ def zscore(spark, sf):
     return learn.zscores(e, ["a", "b"])
 
 
+@query("SELECT c_custkey AS user_id, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS DOUBLE) AS label_index FROM customer")
+def label_index(spark, sf):
+    c = fx.read(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
+    return learn.index_labels(c, "c_mktsegment").select("user_id", "label_index")
+
+
 @query(
     "WITH tr AS (SELECT * FROM embeddings WHERE vec_id % 5 <> 0), te AS (SELECT * FROM embeddings WHERE vec_id % 5 = 0),"
     " n AS (SELECT te.vec_id AS q, tr.label, row_number() OVER (PARTITION BY te.vec_id ORDER BY list_distance(te.embedding::DOUBLE[], tr.embedding::DOUBLE[]), tr.vec_id) AS rk FROM te, tr),"

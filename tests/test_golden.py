@@ -258,6 +258,20 @@ def test_chat_records(spark):
     assert turns[1:] == [("user", "hello"), ("assistant", "Age group: 67+\nIncome level: 16001+")]
 
 
+def test_osm_layers(spark):
+    points = "fclass string, name string, x double, y double"
+    natural = spark.createDataFrame([("tree", "t", 0.0, 0.0), ("beach", "b", 1.0, 1.0)], points)
+    traffic = spark.createDataFrame([("parking", "p", 2.0, 2.0), ("crossing", "c", 3.0, 3.0)], points)
+    square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0)]
+    areas = spark.createDataFrame([("beach", "area", square), ("cliff", "no", square)], "fclass string, name string, ring array<struct<x:double,y:double>>")
+    rows = {r.name: (r.category, r.x) for r in nearest.osm_pois({"natural": natural, "traffic": traffic, "natural_areas": areas}).collect()}
+    assert rows == {"b": ("Entertainment", 1.0), "p": ("Others", 2.0), "area": ("Entertainment", 1.0)}
+
+
+def test_greedy_json(spark):
+    assert values(spark, ['x {"a": {"b": 1}} y', "{no", "none", None], text.greedy_json) == ['{"a": {"b": 1}}', None, None, None]
+
+
 def test_split_and_scaling(spark):
     df = spark.createDataFrame([(i, "ab"[i % 3 == 0], float(i)) for i in range(100)], "user_id long, c string, x double")
     rows = evaluate.split(df, 0.2, stratum="c").groupBy("c", "part").count().collect()
