@@ -286,3 +286,17 @@ def test_layers(spark):
     rows = [(r.id, r.name, r.category) for r in nearest.build_pois(a, b).orderBy("id").collect()]
     assert rows == [(0, "P", "Entertainment"), (1, "R", "Unknown")]
     assert len(schema.CATEGORY_OF) == 65 and values(spark, ["pub", "tree", None], clean.category) == ["Residential", "Others", "Others"]
+
+
+def test_hourly_activity_stream(spark, tmp_path):
+    rows = [("u1", "2024-01-01 08:10:00", "walk", 5.0), ("u2", "2024-01-01 08:50:00", "walk", 7.0), ("u1", "2024-01-01 12:00:00", "car", 1.0), ("u3", "2024-01-01 08:00:00", "walk", 9.0), ("u1", "2024-01-01 20:00:00", "car", 1.0)]
+    columns = "user_id string, started_at timestamp, mode string, act_duration double"
+    source = tmp_path / "events"
+    for k, part in enumerate((rows[:3], rows[3:4], rows[4:])):  # the fourth row comes too late
+        df = spark.createDataFrame(part, "user_id string, started_at string, mode string, act_duration double")
+        df.select("user_id", F.to_timestamp("started_at").alias("started_at"), "mode", "act_duration").coalesce(1).write.parquet(f"{source}/{k}")
+        events = spark.readStream.schema(columns).option("recursiveFileLookup", True).parquet(str(source))
+        out = stream.hourly_activity(events).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+        out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = {(r.hour.hour, r["mode"]): (r.n, r.users, r.minutes) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got[8, "walk"] == (2, 2, 12.0) and got[12, "car"] == (1, 1, 1.0) and (20, "car") not in got
