@@ -300,3 +300,24 @@ def test_hourly_activity_stream(spark, tmp_path):
         out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     got = {(r.hour.hour, r["mode"]): (r.n, r.users, r.minutes) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got[8, "walk"] == (2, 2, 12.0) and got[12, "car"] == (1, 1, 1.0) and (20, "car") not in got
+
+
+def test_models(spark):
+    rows = [(i, float(i % 2) + (i % 7) * 0.01, float(i % 5), "ab"[i % 2], i % 6 == 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "user_id long, x double, noise double, c string, validation boolean")
+    df = learn.weighted(learn.index_labels(learn.assembled(df, ["x", "noise"]), "c"), "c").checkpoint()
+    best = learn.grid_search(df, learn.random_forest, {"numTrees": [2], "maxDepth": [1, 2]}, folds=2)
+    assert len(best) == 2 and best[0][0] > 0.9
+    model = learn.random_forest(numTrees=3, maxDepth=2).fit(df)
+    assert learn.importances(model, ["x", "noise"])[0][0] == "x"
+    assert learn.macro_f1(learn.boosted(3, 2).fit(df).transform(df)) > 0.9
+    table = learn.compare({"forest": learn.random_forest(numTrees=2, maxDepth=2)}, df, df).first()
+    assert table.macro_f1 > 0.9 and table.overfit is False
+
+
+def test_knn_metrics(spark):
+    train = spark.createDataFrame([(1, [0.0, 0.0], "a"), (2, [1.0, 0.0], "a"), (3, [5.0, 5.0], "b")], "id long, vector array<double>, label string")
+    test = spark.createDataFrame([(9, [4.0, 4.0]), (8, [0.0, 0.4])], "id long, vector array<double>")
+    for metric in ("euclidean", "manhattan"):
+        assert {r.id: r.predicted for r in learn.knn_classify(train, test, 1, metric=metric).collect()} == {9: "b", 8: "a"}
+    assert {r.id: r.predicted for r in learn.knn_classify(train, test, 3, weighted=True).collect()} == {9: "b", 8: "a"}
