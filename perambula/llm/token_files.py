@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from perambula.llm.common import input_bytes, new_path, shuffle_partitions, write_table
+from perambula.llm.common import bound_batches, input_bytes, new_path, of_worker, shuffle_partitions, write_table
 
-LANES = 1024
-CHECKPOINT = 256
+LANES = 4096
+CHECKPOINT = 128
 SCALE_BITS = 18
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 1 << 20
 MAGIC = b"RANS\x01\x00\x00\x00"
 HEAD = "<8sQQQQII"  # magic, ids, lanes, rows, words, crc of words, crc of ids
 LOW = np.uint64(1 << 31)
@@ -139,16 +139,32 @@ class Table:
 # Tokens --------------------------------------------------------------------------------------
 
 
+class Pieces(dict):
+    """Piece to number; a new piece gets the next one and waits in `new`."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        found = self[piece] = len(self)
+        return found
+
+
 class Tokens:
-    """Texts to ids with the tokenizers library, one call for each distinct piece.
+    """Texts to ids with the tokenizers library, which gets each distinct piece once.
 
-    A piece begins at a single space between two other characters: there the pre-tokenizer always cuts,
-    and no later token reaches back over it. Marks at a piece's end are pieces, too.
+    A text is cut at single spaces between two other characters: there the pre-tokenizer always cuts, the
+    space belongs to what follows, and no later token reaches back over it. Marks at the end of a piece
+    are cut off, too, as letters and marks never share a token. New pieces are encoded together as one
+    text; each begins at the only token of its own that starts with a space.
     """
 
+    #: New pieces in one text for the library.
+    TOGETHER = 1000
     MARKS = ".,;:!?%$#&*|)(\"-"
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         import os
         import re
 
@@ -158,70 +174,108 @@ class Tokens:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
+        vocabulary = self.model.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that start with a space
+        self.begins[[i for w, i in vocabulary.items() if w.startswith("\u0120")]] = True
         self.specials = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.cut = re.compile(r"(?<=\S) (?=\S)")
+        self.spaces = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
         self.most = most
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.pool: list[int] = []
-        self.starts: list[int] = [0]
+        self.place = Pieces()
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.tails: dict[str, tuple[int, int]] = {}
+
+    def keep(self, ids: np.ndarray) -> int:
+        """Puts ids into the pool; where they start."""
+        at = self.used
+        self.used += len(ids)
+        if self.used > len(self.pool):
+            self.pool = np.concatenate([self.pool[:at], np.zeros(max(len(self.pool), len(ids)), np.uint32)])
+        self.pool[at : self.used] = ids
+        return at
+
+    def raw(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self) -> None:
+        """Ids of the pieces that are new."""
+        place, new, marks = self.place, self.place.new, self.MARKS
+        base = len(place) - len(new)
+        plain, odd, whole, cores, tails = [], [], [], [], []
+        for k, p in enumerate(new):  # grows: letters without their marks are pieces, too
+            if p.isalpha():
+                plain.append(k)
+                continue
+            core = p.rstrip(marks)
+            if core.isalpha():
+                whole.append(k)
+                cores.append(place[core])
+                tails.append(p[len(core) :])
+            elif " " in p or "<" in p:
+                odd.append(k)
+            else:
+                plain.append(k)
+        if len(place) > len(self.starts):
+            room = max(len(self.starts), len(place) - len(self.starts))
+            self.starts, self.lengths = (np.concatenate([x, np.zeros(room, np.int64)]) for x in (self.starts, self.lengths))
+        groups = [plain[i : i + self.TOGETHER] for i in range(0, len(plain), self.TOGETHER)]
+        for group, ids in zip(groups, self.raw(["".join([" " + new[k] for k in g]) for g in groups]), strict=True):
+            ids = np.array(ids, np.uint32)
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) != len(group):
+                odd += group
+                continue
+            at = np.array(group) + base
+            self.starts[at] = starts + self.keep(ids)
+            self.lengths[at] = np.diff(np.append(starts, len(ids)))
+        for k, ids in zip(odd, self.raw([" " + new[k] for k in odd]), strict=True):
+            self.starts[base + k], self.lengths[base + k] = self.keep(np.array(ids, np.uint32)), len(ids)
+        if whole:
+            for t in set(tails).difference(self.tails):
+                ids = np.array(self.raw([t])[0], np.uint32)
+                self.tails[t] = (self.keep(ids), len(ids))
+            cores = np.array(cores)
+            ends = np.array([self.tails[t] for t in tails])
+            starts = np.stack([self.starts[cores], ends[:, 0]], 1).reshape(-1)
+            n = np.stack([self.lengths[cores], ends[:, 1]], 1).reshape(-1)
+            stop = np.cumsum(n)
+            at = np.array(whole) + base
+            self.lengths[at] = n[::2] + n[1::2]
+            self.starts[at] = stop[1::2] - self.lengths[at] + self.keep(self.pool[np.repeat(starts - stop + n, n) + np.arange(int(stop[-1]))])
+        place.new = []
 
     def pieces(self, text: str) -> list[str]:
-        """The text's pieces; all but the first stand after a space that is left out of them."""
         found = text.split(" ")
-        if "" in found or not text.isprintable() and any(x[0].isspace() or x[-1].isspace() for x in found):
+        if "" in found or " \n" in text or "\n " in text or self.spaces.search(text):
             return self.cut.split(text)
         return found
 
-    def raw(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, keys: list[str]) -> None:
-        """keys: pieces, with their space if they have one."""
-        cores, plan = [], []
-        for key in keys:
-            core = key.rstrip(self.MARKS)
-            if len(core) < 2 or not core[-1].isalpha() or any(s in key for s in self.specials):
-                core = key
-            tail = key[len(core) :]
-            plan.append((core, tail))
-            cores.append(core)
-            if tail:
-                cores.append(tail)
-        parts = self.parts
-        new = [c for c in dict.fromkeys(cores) if c not in parts]
-        parts.update(zip(new, self.raw(new), strict=True))
-        place, pool, starts = self.place, self.pool, self.starts
-        for key, (core, tail) in zip(keys, plan, strict=True):
-            place[key] = len(starts) - 1
-            pool += parts[core]
-            if tail:
-                pool += parts[tail]
-            starts.append(len(pool))
-        self.parts = {k: v for k, v in parts.items() if len(k) < 4} if len(parts) > self.most // 4 else parts
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = []
-        for t in texts:
-            p = self.pieces(t)
-            cut.append([p[0], *[" " + x for x in p[1:]]])
-        distinct = set().union(*cut) if cut else set()
-        new = [k for k in distinct if k not in self.place]
-        if len(self.place) + len(new) > self.most and self.place:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in one array, and where each text ends."""
+        if len(self.place) > self.most:
             self.forget()
-            new = list(distinct)
-        self.learn(new)
-        starts, pool = np.array(self.starts, np.int64), np.array(self.pool, np.uint32)
-        get, out = self.place.__getitem__, []
-        for keys in cut:
-            where = np.fromiter(map(get, keys), np.int64, len(keys))
-            n = starts[where + 1] - starts[where]
-            first = np.cumsum(n) - n
-            out.append(pool[np.repeat(starts[where] - first, n) + np.arange(int(n.sum()))])
-        return out
+        heads, parts = [], []
+        get = self.place.__getitem__
+        for t in texts:
+            cut = self.pieces(t)
+            heads.append(cut[0])
+            parts.append(np.fromiter(map(get, cut[1:]), np.int64, len(cut) - 1))
+        self.learn()
+        heads = self.raw(heads)
+        where = np.concatenate(parts)
+        pool, begin, n = self.pool, self.starts[where], self.lengths[where]
+        stop = np.cumsum(n)
+        body = pool[np.repeat(begin - stop + n, n) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        cuts = np.concatenate([np.zeros(1, np.int64), stop])[np.cumsum([len(p) for p in parts])]
+        # each text's first piece stands before its others
+        lengths = np.array([len(h) for h in heads], np.int64)
+        first = np.fromiter((i for h in heads for i in h), np.uint32, int(lengths.sum()))
+        out = np.insert(body, np.repeat(np.concatenate([np.zeros(1, np.int64), cuts[:-1]]), lengths), first)
+        return out, cuts + np.cumsum(lengths)
 
 
 TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType(), False), T.StructField("ids", T.BinaryType(), False)])
@@ -237,11 +291,15 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str
     kind = id_type(Tokenizer.from_file(tokenizer_path).get_vocab_size())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(tokenizer_path)
+        tokens = of_worker(("tokens", tokenizer_path), lambda: Tokens(tokenizer_path))
         end = np.array([end_id], kind)
         for ids, texts in grouped(batches, 2 << 20):
-            found = [np.concatenate([x.astype(kind), end]) for x in tokens.encode(texts)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], schema=TOKENS_ARROW)
+            flat, ends = tokens.encode(texts)
+            whole = np.insert(flat.astype(kind), ends, end[0])
+            ends = ends + np.arange(1, len(ends) + 1)
+            offsets = np.concatenate([np.zeros(1, np.int64), ends]) * whole.itemsize
+            packed = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(whole.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(offsets) // whole.itemsize), packed], schema=TOKENS_ARROW)
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, TOKENS)
 
@@ -257,8 +315,8 @@ def symbol_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=vocabulary)
+            joined = b"".join(x.as_py() for x in batch.column(0))
+            total += np.bincount(np.frombuffer(joined, kind), minlength=vocabulary)
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["symbol", "n"])
 
@@ -355,6 +413,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: st
     """
     from tokenizers import Tokenizer
 
+    bound_batches(docs.sparkSession)
     vocabulary = Tokenizer.from_file(tokenizer_path).get_vocab_size()
     tokens = write_table(tokenize(docs, tokenizer_path, end_id, id_col, text_col), "tokens")
     files = write_files(tokens, new_path(docs.sparkSession, "rans"), vocabulary)
