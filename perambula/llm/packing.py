@@ -1,9 +1,10 @@
 """Variable-capacity best-fit packing.
 
 Several sequence lengths are permitted. A piece goes into the open bin whose room it leaves smallest; if
-none has room, the bin size with the least cost for each token is opened (a dynamic programme over the
-capacities prices what is left of the group), and in the end every bin is downsized to the smallest
-permitted length that holds its contents. Documents longer than the largest length are cut into pieces.
+none has room, the bin size is opened that costs least for each token it can still get: a bin costs its
+length and a fixed part for a sequence, and gets no more than what is left of its group. In the end every
+bin is downsized to the smallest permitted length that holds its contents. Documents longer than the
+largest length are cut into pieces.
 
 Pieces are packed in groups of bounded size that a hash of the document's id deals, so that no source or
 key gathers in a task; packing loses less than one bin a group to that.
@@ -24,7 +25,7 @@ from perambula.llm.common import write_table
 
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Tokens in a group on average.
-GROUP_TOKENS = 1 << 21
+GROUP_TOKENS = 1 << 18
 #: Cost of a bin: its capacity and a fixed part for each sequence.
 SEQUENCE_COST = 16
 
