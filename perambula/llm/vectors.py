@@ -28,8 +28,8 @@ from perambula.llm.components import components
 
 THRESHOLD = 0.93
 #: Distinct vectors of a label that are still one shard, and a shard's size in larger labels.
-ONE_SHARD = 3000
-SHARD = 1500
+ONE_SHARD = 6000
+SHARD = 3000
 #: The sample that pivots come from, over all labels.
 PIVOTS_MOST = 4096
 NEAREST = 2
