@@ -179,7 +179,6 @@ class Tokens:
         self.begins[[i for w, i in vocabulary.items() if w.startswith("\u0120")]] = True
         self.specials = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.cut = re.compile(r"(?<=\S) (?=\S)")
-        self.spaces = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
         self.most = most
         self.forget()
 
@@ -187,6 +186,7 @@ class Tokens:
         self.place = Pieces()
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.edged = np.zeros(1 << 12, bool)  # pieces that are empty, or have white space at an end
         self.tails: dict[str, tuple[int, int]] = {}
 
     def keep(self, ids: np.ndarray) -> int:
@@ -205,23 +205,26 @@ class Tokens:
         """Ids of the pieces that are new."""
         place, new, marks = self.place, self.place.new, self.MARKS
         base = len(place) - len(new)
-        plain, odd, whole, cores, tails = [], [], [], [], []
+        plain, odd, edged, whole, cores, tails = [], [], [], [], [], []
         for k, p in enumerate(new):  # grows: letters without their marks are pieces, too
             if p.isalpha():
                 plain.append(k)
                 continue
+            if not p or p[0].isspace() or p[-1].isspace():
+                edged.append(k)
             core = p.rstrip(marks)
             if core.isalpha():
                 whole.append(k)
                 cores.append(place[core])
                 tails.append(p[len(core) :])
-            elif " " in p or "<" in p:
+            elif not p or " " in p or "<" in p:
                 odd.append(k)
             else:
                 plain.append(k)
         if len(place) > len(self.starts):
             room = max(len(self.starts), len(place) - len(self.starts))
-            self.starts, self.lengths = (np.concatenate([x, np.zeros(room, np.int64)]) for x in (self.starts, self.lengths))
+            self.starts, self.lengths, self.edged = (np.concatenate([x, np.zeros(room, x.dtype)]) for x in (self.starts, self.lengths, self.edged))
+        self.edged[np.array(edged, np.int64) + base] = True
         groups = [plain[i : i + self.TOGETHER] for i in range(0, len(plain), self.TOGETHER)]
         for group, ids in zip(groups, self.raw(["".join([" " + new[k] for k in g]) for g in groups]), strict=True):
             ids = np.array(ids, np.uint32)
@@ -248,12 +251,6 @@ class Tokens:
             self.starts[at] = stop[1::2] - self.lengths[at] + self.keep(self.pool[np.repeat(starts - stop + n, n) + np.arange(int(stop[-1]))])
         place.new = []
 
-    def pieces(self, text: str) -> list[str]:
-        found = text.split(" ")
-        if "" in found or " \n" in text or "\n " in text or self.spaces.search(text):
-            return self.cut.split(text)
-        return found
-
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array, and where each text ends."""
         if len(self.place) > self.most:
@@ -261,12 +258,21 @@ class Tokens:
         heads, parts = [], []
         get = self.place.__getitem__
         for t in texts:
-            cut = self.pieces(t)
+            cut = t.split(" ")
+            if not cut[0] or cut[0][-1].isspace():
+                cut = self.cut.split(t)
             heads.append(cut[0])
             parts.append(np.fromiter(map(get, cut[1:]), np.int64, len(cut) - 1))
         self.learn()
-        heads = self.raw(heads)
         where = np.concatenate(parts)
+        if self.edged[where].any():  # some spaces stand beside other white space
+            for k, part in enumerate(parts):
+                if self.edged[part].any():
+                    cut = self.cut.split(texts[k])
+                    heads[k], parts[k] = cut[0], np.fromiter(map(get, cut[1:]), np.int64, len(cut) - 1)
+            self.learn()
+            where = np.concatenate(parts)
+        heads = self.raw(heads)
         pool, begin, n = self.pool, self.starts[where], self.lengths[where]
         stop = np.cumsum(n)
         body = pool[np.repeat(begin - stop + n, n) + np.arange(int(stop[-1]) if len(stop) else 0)]
