@@ -1,16 +1,16 @@
-"""Embedding near-dedup with a robust-pruned flat graph.
-
-Equal vectors of a label are merged first and counted with their multiplicity. A label with many distinct
-vectors is dealt to overlapping shards: each vector goes to the shards of its NEAREST nearest pivots, and
-pivots are vectors of a bounded sample. In a shard, overlapping clusters get a graph each: candidates by
-similarity, pruned so that an edge is dropped if a kept neighbour is closer to its end by a factor. The
-adjacency lists are united over the clusters, with their reverse edges. Every vector is then a query: a
-greedy search from the clusters' medoids, which expands in range as long as it finds vectors near the
-threshold. Found pairs are verified in double precision. Recall is audited in every shard against brute
-force on some of its vectors; a shard below MIN_RECALL compares all of its vectors in blocks instead.
-
-A shard returns a row per vector: its links, and the least vector it is connected to. A pair that several
-shards share counts in the first of them. No pair is emitted.
+"""Embedding near-dedup: every pair of a label, in blocks, with cells that bound what is compared.
+
+Equal vectors of a label are merged first and counted with their multiplicity. A label of at most ONE_SHARD
+distinct vectors is compared whole. A larger one is cut into cells: each vector is at home with its nearest
+pivot, and pivots are vectors of a bounded sample. Of two linked vectors with different homes p and q, either
+lies within the threshold's angle of the great sphere midway between p and q; so a vector visits each cell
+before its own whose midway sphere is that near, and a pair meets in exactly one cell: that of the lesser
+home. Members of a cell are compared with each other and with its visitors, in double precision. Nothing
+within the threshold is left out, whatever the pivots are: they decide the cost only. Where vectors visit
+many cells (no clusters, many dimensions), cells are made fewer, and the work is that of all pairs.
+
+A cell with more than BLOCK members or visitors is a grid of tasks. A task returns a row for each vector
+with links: their number, and the least vector it is connected to. No pair is emitted.
 """
 
 from __future__ import annotations
@@ -23,24 +23,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from perambula.llm.common import write_table
+from perambula.llm.common import mix, write_table
 from perambula.llm.components import components
 
 THRESHOLD = 0.93
-#: Distinct vectors of a label that are still one shard, and a shard's size in larger labels.
+#: Distinct vectors of a label that are compared whole, and those for each pivot of a larger label.
 ONE_SHARD = 6000
 SHARD = 3000
 #: The sample that pivots come from, over all labels.
 PIVOTS_MOST = 4096
-NEAREST = 2
-CLUSTER = 400
-CANDIDATES, DEGREE, ALPHA = 48, 20, 1.2
-BEAM = 8
-SLACK = 0.06
-AUDITED, MIN_RECALL = 24, 0.97
-
-CLASSES = "class_id long, label long, vector binary, n long"
-
+#: Vectors on one side of a task, and cells that a vector visits on average, above which cells are made fewer.
+BLOCK = 16384
+VISITS = 4
+#: Rows that are compared at once.
+STRIP = 256
+#: Added to the bound of a visit, against rounding.
+ROUNDING = 1e-6
 
 def usable(vector: str = "embedding") -> F.Column:
     """The vector as doubles if it has a direction, else null."""
@@ -54,137 +52,63 @@ def unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
 
 
-def robust_prune(similar: np.ndarray, candidates: int = CANDIDATES, degree: int = DEGREE, alpha: float = ALPHA) -> list[np.ndarray]:
-    """Out-neighbours of each member of one cluster, all members together."""
-    n = len(similar)
-    c = min(candidates, n - 1)
-    if c < 1:
-        return [np.zeros(0, np.int64) for _ in range(n)]
-    near = similar.copy()
-    np.fill_diagonal(near, -np.inf)
-    cand = np.argsort(-near, axis=1, kind="stable")[:, :c]
-    rows = np.arange(n)
-    distance = np.sqrt(np.maximum(0.0, 2 - 2 * np.take_along_axis(similar, cand, axis=1)))
-    alive = np.ones((n, c), bool)
-    kept: list[list[int]] = [[] for _ in range(n)]
-    for _ in range(min(degree, c)):
-        some = alive.any(axis=1)
-        if not some.any():
-            break
-        pick = cand[rows, alive.argmax(axis=1)]
-        for i in np.flatnonzero(some).tolist():
-            kept[i].append(int(pick[i]))
-        between = np.sqrt(np.maximum(0.0, 2 - 2 * similar[pick[:, None], cand]))
-        alive &= ~((alpha * between <= distance) | (cand == pick[:, None])) & some[:, None]
-    return [np.array(k, np.int64) for k in kept]
-
-
-class Graph:
-    """United adjacency lists of overlapping clusters, and the clusters' medoids."""
-
-    def __init__(self, v: np.ndarray):
-        self.v = v
-        n = len(v)
-        k = max(1, -(-2 * n // CLUSTER))
-        seeds = v[np.linspace(0, n - 1, k).astype(np.int64)]
-        if k > 1:  # one step towards the clusters' means
-            home = (v @ seeds.T).argmax(axis=1)
-            sums = np.zeros_like(seeds)
-            np.add.at(sums, home, v)
-            norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
-            seeds = np.where(norm > 0, sums / np.maximum(norm, 1e-300), seeds)
-        nearest = np.argsort(-(v @ seeds.T), axis=1, kind="stable")[:, : min(2, k)]
-        lists: list[set[int]] = [set() for _ in range(n)]
-        self.medoids = []
-        for c in range(k):
-            members = np.flatnonzero((nearest == c).any(axis=1))
-            for at in range(0, len(members), 4 * CLUSTER):  # a cluster that many share is built in parts
-                part = members[at : at + 4 * CLUSTER]
-                similar = v[part] @ v[part].T
-                self.medoids.append(int(part[similar.sum(axis=1).argmax()]))
-                for i, out in zip(part.tolist(), robust_prune(similar), strict=True):
-                    own = part[out].tolist()
-                    lists[i].update(own)
-                    for j in own:
-                        lists[j].add(i)
-        self.lists = [np.fromiter(x, np.int64, len(x)) for x in lists]
-        self.medoids = np.unique(self.medoids)
-
-    def search(self, q: int, threshold: float) -> np.ndarray:
-        """Members within the threshold of member q."""
-        v, lists = self.v, self.lists
-        target = v[q]
-        score = np.full(len(v), -2.0)
-        start = np.unique(np.append(self.medoids, q))
-        score[start] = v[start] @ target
-        seen = start
-        open_ = np.ones(len(v), bool)
-        while True:
-            scores = score[seen]
-            best = seen[np.argpartition(-scores, BEAM)[:BEAM]] if len(seen) > BEAM else seen
-            near = seen[scores >= threshold - SLACK]
-            todo = np.unique(np.concatenate([best, near]))
-            todo = todo[open_[todo]]
-            if not len(todo):
-                return seen[score[seen] >= threshold]
-            open_[todo] = False
-            new = np.unique(np.concatenate([lists[i] for i in todo.tolist()]))
-            new = new[score[new] == -2.0]
-            if len(new):
-                score[new] = v[new] @ target
-                seen = np.concatenate([seen, new])
-
-
-def neighbours(v: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
-    """(q, members within the threshold of q, itself included), by the graph, or in blocks where it finds too little."""
-    graph = Graph(v)
-    audit = np.unique(np.linspace(0, len(v) - 1, min(AUDITED, len(v))).astype(np.int64)).tolist()
-    true = found = 0
-    for q in audit:
-        true += int((v @ v[q] >= threshold).sum())
-        found += len(graph.search(q, threshold))
-    if found >= MIN_RECALL * true:
-        for q in range(len(v)):
-            yield q, graph.search(q, threshold)
-    else:
-        for at in range(0, len(v), 256):
-            for k, row in enumerate(v[at : at + 256] @ v.T >= threshold):
-                yield at + k, np.flatnonzero(row)
+def homes_and_visits(v: np.ndarray, points: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest of the points to each vector, and for each vector a mask of the cells that it visits."""
+    near = v @ points.T
+    home = near.argmax(axis=1)
+    sine = np.sqrt(max(0.0, 1 - threshold * threshold)) if threshold > 0 else np.inf
+    apart = np.sqrt(np.maximum(0.0, 2 - 2 * (points[home] @ points.T)))
+    bound = sine * apart + ROUNDING if threshold > 0 else np.full_like(apart, np.inf)
+    visits = near[np.arange(len(v)), home][:, None] - near <= bound
+    return home, visits & (np.arange(len(points)) < home[:, None])
+
+
+def fewer_points(points: np.ndarray, n: int, threshold: float) -> np.ndarray:
+    """The points, halved while vectors visit many cells; the cost hangs on it and no result."""
+    some = points[:STRIP]
+    while len(points) > max(1, -(-n // BLOCK)) and homes_and_visits(some, points, threshold)[1].sum() > VISITS * len(some):
+        points = points[: -(-len(points) // 2)]
+    return points
+
+
+def connect(v: np.ndarray, times: np.ndarray, n_left: int, within: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links and least connected place of each vector: all pairs of the first n_left with the rest, and within them if asked."""
+    links, least = np.zeros(len(v), np.int64), np.arange(len(v))
+    marked = np.zeros(len(v), bool)
+    first = 0 if within else n_left
+    others = v[first:].T
+    for at in range(0, n_left if others.size else 0, STRIP):
+        hit = v[at : min(at + STRIP, n_left)] @ others >= threshold
+        if within:
+            hit[np.arange(len(hit)), np.arange(at, at + len(hit))] = False
+        for k in np.flatnonzero(hit.any(axis=1)).tolist():
+            q, near = at + k, np.flatnonzero(hit[k]) + first
+            links[q] += times[near].sum()
+            right = near[near >= n_left]
+            links[right] += times[q]
+            names = np.append(least[near], least[q])
+            low = names.min()
+            if (names != low).any():
+                marked[names] = True
+                least[marked[least]] = low
+                marked[names] = False
+    return links, least
 
 
 FOUND = T.StructType([T.StructField("class_id", T.LongType()), T.StructField("links", T.LongType()), T.StructField("root", T.LongType())])
 
 
-def search_shard(threshold: float):
+def search_task(threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("class_id")
+        table = table.sort_by([("visitor", "ascending"), ("class_id", "ascending")])
         ids = table.column("class_id").to_numpy()
         times = table.column("n").to_numpy()
         v = unit(np.frombuffer(b"".join(x.as_py() for x in table.column("vector")), "<f8").reshape(len(ids), -1))
-        here = table.column("shard")[0].as_py()
-        shards = np.full((len(ids), NEAREST), -1, np.int64)
-        for i, x in enumerate(table.column("shards").to_pylist()):
-            shards[i, : len(x)] = x
-        links, parent = np.zeros(len(ids), np.int64), list(range(len(ids)))
-
-        def find(a: int) -> int:
-            while parent[a] != a:
-                parent[a] = parent[parent[a]]
-                a = parent[a]
-            return a
-
-        for q, near in neighbours(v, threshold):
-            near = near[near != q]
-            if not len(near):
-                continue
-            common = ((shards[near][:, :, None] == shards[q][None, None, :]) & (shards[near] >= 0)[:, :, None] & (shards[near] < here)[:, :, None]).any(axis=(1, 2))
-            links[q] += times[near[~common]].sum()
-            a = find(q)
-            for b in {find(x) for x in near.tolist()}:
-                if b != a:
-                    a, b = min(a, b), max(a, b)
-                    parent[b] = a
-        return pa.table({"class_id": ids, "links": links, "root": ids[[find(i) for i in range(len(ids))]]})
+        n_left = len(ids) - int(np.count_nonzero(table.column("visitor").to_numpy(zero_copy_only=False)))
+        within = table.column("one")[0].as_py() == table.column("other")[0].as_py()
+        links, least = connect(v, times, n_left, within, threshold)
+        linked = np.flatnonzero(links)
+        return pa.table({"class_id": ids[linked], "links": links[linked], "root": ids[least[linked]]})
 
     return run
 
@@ -212,43 +136,92 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     kinds = classes.groupBy("label", F.octet_length("vector").alias("width")).agg(F.count("*").alias("n"))
     large = kinds.where(F.col("n") > ONE_SHARD)
     total = large.agg(F.sum("n")).first()[0] or 0
-    # a pivot for each SHARD / NEAREST vectors of a large label, and PIVOTS_MOST in all: those with the least hash
-    pivots: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    # a pivot for each SHARD vectors of a large label, and PIVOTS_MOST in all: those with the least hash
+    cells: dict[tuple[int, int], tuple[np.ndarray, int]] = {}
+    blocks: dict[int, tuple[int, int]] = {}
     if total:
-        share = min(NEAREST / SHARD, PIVOTS_MOST / total)
-        sample = classes.join(F.broadcast(large.orderBy(F.desc("n"), "label").limit(PIVOTS_MOST).select("label", "width")), (classes["label"] == large["label"]) & (F.octet_length("vector") == large["width"]), "left_semi")
+        share = min(1 / SHARD, PIVOTS_MOST / total)
+        largest = large.orderBy(F.desc("n"), "label", "width").limit(PIVOTS_MOST)
+        sizes = {(r["label"], r["width"]): r["n"] for r in largest.collect()}
+        sample = classes.join(F.broadcast(largest.select("label", "width")), (classes["label"] == large["label"]) & (F.octet_length("vector") == large["width"]), "left_semi")
         sample = sample.where(F.pmod(F.xxhash64("class_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1)).orderBy(F.xxhash64("class_id")).limit(PIVOTS_MOST).collect()
+        drawn: dict[tuple[int, int], list[bytes]] = {}
         for r in sample:
-            pivots.setdefault((r["label"], len(r["vector"])), []).append(bytes(r["vector"]))
+            drawn.setdefault((r["label"], len(r["vector"])), []).append(bytes(r["vector"]))
         at = 0
-        for key, found in sorted(pivots.items()):
-            pivots[key] = (unit(np.frombuffer(b"".join(found), "<f8").reshape(len(found), -1)), np.arange(at, at + len(found)))
-            at += len(found)
-    dealt_schema = "shard long, label long, width int, class_id long, n long, vector binary, shards array<long>"
-    dealt_arrow = pa.schema([("shard", pa.int64()), ("label", pa.int64()), ("width", pa.int32()), ("class_id", pa.int64()), ("n", pa.int64()), ("vector", pa.binary()), ("shards", pa.list_(pa.int64()))])
+        for key, n in sorted(sizes.items()):
+            found = drawn.get(key)
+            points = fewer_points(unit(np.frombuffer(b"".join(found), "<f8").reshape(len(found), -1)), n, threshold) if found else np.zeros((1, key[1] // 8))
+            cells[key] = (points, at)
+            at += len(points)
+
+    def placed(batch: pa.RecordBatch) -> Iterator[tuple[list[dict], np.ndarray | None, np.ndarray | None]]:
+        """Rows of a batch, with the cells they are at home in and (row, cell) of their visits; no cell where the label is one task."""
+        by: dict[tuple[int, int], list[dict]] = {}
+        for r in batch.to_pylist():
+            by.setdefault((r["label"], len(r["vector"])), []).append(r)
+        for key, members in by.items():
+            if key not in cells:
+                yield members, None, None
+                continue
+            points, first = cells[key]
+            for at in range(0, len(members), STRIP):
+                part = members[at : at + STRIP]
+                home, visits = homes_and_visits(unit(np.frombuffer(b"".join(r["vector"] for r in part), "<f8").reshape(len(part), -1)), points, threshold)
+                yield part, home + first, np.argwhere(visits) + [0, first]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, home, visits in placed(batch):
+                if home is not None:
+                    for cell, visitor in ((home, False), (visits[:, 1], True)):
+                        names, n = np.unique(cell, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([visitor] * len(names), pa.bool_()), pa.array(n, pa.int64())], ["cell", "visitor", "n"])
+
+    if cells:
+        counted = classes.select("label", "vector").mapInArrow(count, "cell long, visitor boolean, n long").groupBy("cell", "visitor").agg(F.sum("n").alias("n")).collect()
+        for r in counted:
+            mine = blocks.get(r["cell"], (1, 0))
+            parts = -(-r["n"] // BLOCK)
+            blocks[r["cell"]] = (mine[0], parts) if r["visitor"] else (parts, mine[1])
+
+    dealt_schema = "cell long, label long, width int, one int, other int, visitor boolean, class_id long, n long, vector binary"
+    dealt_arrow = pa.schema([("cell", pa.int64()), ("label", pa.int64()), ("width", pa.int32()), ("one", pa.int32()), ("other", pa.int32()), ("visitor", pa.bool_()), ("class_id", pa.int64()), ("n", pa.int64()), ("vector", pa.binary())])
+
+    def tasks(cell: int, visitor: bool, block: int) -> list[tuple[int, int, bool]]:
+        """(one, other, as visitor) of the tasks of a cell's grid that a block of its members or visitors takes part in."""
+        members, visitors = blocks[cell]
+        if members == 1 and visitors <= 1:
+            return [(0, 0, visitor)]
+        if visitor:
+            return [(k, members + block, True) for k in range(members)]
+        return [(k, block, True) for k in range(block)] + [(block, k, False) for k in range(block, members + visitors)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            by: dict[tuple[int, int], list[dict]] = {}
-            for r in batch.to_pylist():
-                by.setdefault((r["label"], len(r["vector"])), []).append(r)
-            for (label, width), members in by.items():
-                if (label, width) not in pivots:
-                    out += [{"shard": -1, "label": label, "width": width, "shards": [0], **{c: r[c] for c in ("class_id", "n", "vector")}} for r in members]
-                    continue
-                points, names = pivots[label, width]
-                v = unit(np.frombuffer(b"".join(r["vector"] for r in members), "<f8").reshape(len(members), -1))
-                nearest = np.sort(names[np.argsort(-(v @ points.T), axis=1, kind="stable")[:, :NEAREST]], axis=1).tolist()
-                for r, shards in zip(members, nearest, strict=True):
-                    out += [{"shard": s, "label": label, "width": width, "shards": shards, **{c: r[c] for c in ("class_id", "n", "vector")}} for s in shards]
-            yield pa.RecordBatch.from_pylist(out, dealt_arrow)
+            for members, home, visits in placed(batch):
+                out = []
+
+                def put(r: dict, cell: int, one: int, other: int, visitor: bool) -> None:
+                    out.append({"cell": cell, "width": len(r["vector"]), "one": one, "other": other, "visitor": visitor, **r})  # noqa: B023
+
+                if home is None:
+                    for r in members:
+                        put(r, -1, 0, 0, False)
+                else:
+                    mixed = mix(np.array([r["class_id"] for r in members], np.int64).view(np.uint64)).tolist()
+                    places = [(k, c, False) for k, c in enumerate(home.tolist())] + [(k, c, True) for k, c in visits.tolist()]
+                    for k, cell, visitor in places:
+                        for task in tasks(cell, visitor, mixed[k] % blocks[cell][visitor]):
+                            put(members[k], cell, *task)
+                for at in range(0, len(out), 4096):
+                    yield pa.RecordBatch.from_pylist(out[at : at + 4096], dealt_arrow)
 
     dealt = classes.select("label", "vector", "class_id", "n").mapInArrow(deal, dealt_schema)
-    found = write_table(dealt.groupBy("shard", "label", "width").applyInArrow(search_shard(threshold), FOUND), "found")
+    found = write_table(dealt.groupBy("cell", "label", "width", "one", "other").applyInArrow(search_task(threshold), FOUND), "found")
     links = found.groupBy("class_id").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("class_id").alias("u"), F.col("root").alias("v")))
-    known = classes.join(links, "class_id").join(joined, classes["class_id"] == joined["node"], "left")
-    known = known.select("label", "vector", (F.col("links") + F.col("n") - 1).alias("n_links"), F.coalesce("root", "class_id").alias("component_id"))
+    known = classes.join(links, "class_id", "left").join(joined, classes["class_id"] == joined["node"], "left")
+    known = known.select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "class_id").alias("component_id"))
     own = rows.join(known, ["label", "vector"], "left")
     return own.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

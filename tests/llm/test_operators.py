@@ -408,6 +408,26 @@ def test_near_vectors(spark, monkeypatch, one_shard):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_finds_every_pair_of_a_large_label(spark, monkeypatch):
+    """Loose vectors with a near copy each, and a dense group: links and components are those of brute force."""
+    for name, value in (("ONE_SHARD", 200), ("SHARD", 20), ("BLOCK", 50)):
+        monkeypatch.setattr(vectors, name, value, raising=False)
+    rng = np.random.default_rng(7)
+    turn = lambda x, c: c * x + np.sqrt(1 - c * c) * rng.normal(size=x.shape) / np.sqrt(x.shape[-1])
+    loose = rng.normal(size=(400, 32))
+    loose /= np.linalg.norm(loose, axis=1, keepdims=True)
+    rows = np.concatenate([loose, turn(loose, 0.95), turn(np.repeat(loose[:1], 300, axis=0), 0.97)])
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.93
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    want = [(i, int(near[i].sum()), g) for i, g in enumerate(groups(len(rows), lambda a, b: near[a, b]))]
+    assert sum(w[1] for w in want) > 10_000
+    for visits in (1000, 1):
+        monkeypatch.setattr(vectors, "VISITS", visits, raising=False)
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.near_vectors(df).collect()) == want
+
+
 def test_crc_column(docs):
     path, t = tokenizer("byte_bpe_50k.json")
     r = token_files.round_trip(docs.where("doc_id = 403"), path).select(F.crc32("ids")).first()[0]
