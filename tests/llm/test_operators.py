@@ -428,6 +428,17 @@ def test_near_vectors_finds_every_pair_of_a_large_label(spark, monkeypatch):
         assert sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.near_vectors(df).collect()) == want
 
 
+def test_near_vectors_finds_every_pair_of_one_shard(spark):
+    """Few links for each vector: an audit of some vectors sees next to none of what is missed."""
+    rng = np.random.default_rng(2)
+    loose, turn = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rng.normal(size=(2500, 64)), rng.normal(size=(2500, 64))))
+    rows = np.concatenate([loose, 0.945 * loose + np.sqrt(1 - 0.945**2) * turn])
+    near = vectors.unit(rows) @ vectors.unit(rows).T >= 0.93
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links) for r in vectors.near_vectors(df).collect())
+    assert got == [(i, int(n) - 1) for i, n in enumerate(near.sum(axis=1))]
+
+
 def test_crc_column(docs):
     path, t = tokenizer("byte_bpe_50k.json")
     r = token_files.round_trip(docs.where("doc_id = 403"), path).select(F.crc32("ids")).first()[0]
