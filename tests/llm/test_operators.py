@@ -213,6 +213,18 @@ def test_quality_separates_held_out_labels(spark):
     assert kept[1] > 0.99 and kept[0] < 0.3
 
 
+def test_quality_with_few_labels(spark):
+    """Some 300 labels tell junk from clean documents as thousands do, and a handful rejects no clean one."""
+    for sf, most in (("sf0.01", None), ("sf0.1", 300), ("sf0.01", 10)):
+        docs, labels = (queries.table(spark, f"/root/testdata/{sf}", n) for n in ("documents", "labels"))
+        trusted = quality.trusted_documents(labels)
+        rows = quality.quality_rules(docs, trusted.orderBy("doc_id").limit(most) if most else trusted)
+        rows = rows.select("doc.doc_id", "base_failed", "kept").join(labels, "doc_id").where("not base_failed and (quality = 0 or toxic = 0)")
+        kept = {r.quality: r.share for r in rows.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
+        assert kept[1] > 0.97, (sf, most, kept)
+        assert most == 10 or kept[0] < 0.15, (sf, most, kept)
+
+
 def test_packing(docs, empty):
     lengths = docs.select("doc_id", F.when(F.col("fp") % 7 == 0, None).otherwise(F.length("text")).cast("long").alias("n"), "bucket")
     rows = packing.pack_documents(lengths, "n", group_tokens=4000).collect()
