@@ -20,10 +20,22 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: that with the smallest id, and one row of it."""
-    first = simhash.near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
+    """One document of each SimHash group: that with the smallest id, and one row of it.
+
+    An id whose texts lie in several groups is decided row by row: a text goes with its own group only.
+    """
+    found = simhash.near_duplicates(docs.select("doc_id", "text")).where("doc_id is not null")
+    ids = found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"), (F.min("root") != F.max("root")).alias("several"))
+    ids = write_table(ids.where("first"), "ids")
     nameless = docs.where("doc_id is null")
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(nameless)
+    kept = docs.join(ids.where("not several"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(nameless)
+    if not ids.where("several").take(1):
+        return kept
+    rows = docs.join(ids.where("several"), "doc_id", "left_semi").withColumn("_digest", F.xxhash64("text"))
+    fps = simhash.fingerprints(rows.select("_digest", "text"), id_col="_digest").distinct().select(F.col("doc_id").alias("_digest"), F.col("fp").alias("_fp"))
+    firsts = found.where("doc_id = component_id").select("doc_id", F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
+    rows = rows.join(fps, "_digest").join(firsts, ["doc_id", "_fp"]).dropDuplicates(["doc_id", "_root"])
+    return kept.unionByName(rows.select(docs.columns))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

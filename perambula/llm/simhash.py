@@ -191,8 +191,9 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """Per row: doc_id, fp (signed), component_id (smallest doc_id reachable by links, itself included).
+    """Per row: doc_id, fp (signed), component_id (smallest doc_id reachable by links, itself included), root.
 
+    root names the component: where an id has several texts, components may share a component_id.
     Null and empty texts have fingerprint 0 and link like any other. A null doc_id takes part, but is
     nobody's component_id; a component of null ids alone has a null one. Repeated rows are kept.
     """
@@ -203,5 +204,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     rooted = write_table(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    members = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(members, "fp").select("doc_id", "fp", "component_id")
+    members = rooted.join(least, "root").select("fp", "component_id", "root")
+    return rows.join(members, "fp").select("doc_id", "fp", "component_id", "root")

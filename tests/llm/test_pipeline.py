@@ -81,6 +81,16 @@ def test_stages_take_nulls_and_empty_tables(spark):
         assert docs.count() >= 0
 
 
+def test_near_copy_stage_decides_by_row_where_ids_repeat(spark):
+    base = queries.table(spark, SF, "documents")
+    a, b, c = (" ".join(f"{x}{(i * i + k) % 97}" for i in range(80)) for k, x in enumerate("abc"))
+    rows = [(1, a), (5, a), (5, b), (5, b), (5, c), (7, c), (9, b), (None, a)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in order], base.schema)
+        got = corpus_pipeline.drop_near_copies(spark, docs, SF).select("doc_id", "text").collect()
+        assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("1", a), ("5", b), ("5", c), ("None", a)])
+
+
 def test_registered():
     import __spark_entry__ as e
 
