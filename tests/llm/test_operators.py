@@ -343,6 +343,61 @@ def test_main_text(spark):
     assert html_text.extract_main_text(pages.limit(0)).count() == 0
 
 
+LONG = "This is a paragraph of the article that is about as long as it has to be, and it has many of the words that are in all texts."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<body class="home has-sidebar"><p>{LONG}</p></body>', LONG),
+        (f'<article class="post comments-open"><p>{LONG}</p></article>', LONG),
+        (f'<main class="site-content header-fixed"><p>{LONG}</p></main>', LONG),
+        (f'<div class="market-share"><p>{LONG}</p></div>', LONG),
+        (f'<div class="share"><p>{LONG}</p></div>', LONG),
+        (f"<a name=top><p>{LONG}</p>", LONG),
+        (f'<p><a href="/x">a link that is never closed</p><p>{LONG}</p>', LONG),
+        (f"<p>{'İ' * 60}</p><button>x</button><p>{LONG}</p>", f"{'İ' * 60}\n\n{LONG}"),
+        (f"<p>{LONG}</p><div><a href=http://x.org/>some links to the other pages that are on this site and on all of the others</a></div>", LONG),
+        (f"<article><p>{LONG}</p></article><div>{'cheap pills casino ' * 9}</div>", LONG),
+        (f"<article><p>{LONG}</p><p>Anna Berta Carl Dora Emil Fritz Gerd Hans Ida Jan Karl Lena Mia</p><p>{LONG}</p></article>", f"{LONG}\n\nAnna Berta Carl Dora Emil Fritz Gerd Hans Ida Jan Karl Lena Mia\n\n{LONG}"),
+        (f'<article><p>{LONG}</p></article><div id="comments"><article class="comment-body"><p>{LONG} I think.</p></article></div>', LONG),
+        (f'<div class="page"><div class="menu left"><p>{LONG}</p></div><article><p>{LONG} Yes.</p></article></div>', f"{LONG} Yes."),
+        (f"<P>{LONG}</P><SCRIPT>if (a < b) x()</Script ><p>{LONG}", f"{LONG}\n\n{LONG}"),
+        ("<p>短い日本語のページです。</p>", "短い日本語のページです。"),
+    ],
+)
+def test_main_text_by_density(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_second_pass_against_brute_force():
+    rng = np.random.default_rng(8)
+    for _ in range(400):
+        n = int(rng.integers(0, 9))
+        labels, containers, headings = rng.choice([1, 0, -1, -1, 2], n).tolist(), rng.integers(0, 3, n).tolist(), (rng.random(n) < 0.3).tolist()
+        want = []
+        for i, x in enumerate(labels):
+            left = [k for k in range(i) if labels[k] in (0, 1)][-1:]
+            right = [k for k in range(i + 1, n) if labels[k] in (0, 1)][:1]
+            good = [k for k in left + right if labels[k] == 1]
+            home = [k for k in good if containers[k] == containers[i]]
+            if x in (0, 1):
+                want.append(x == 1)
+            elif x == 2:
+                want.append(bool(home))
+            else:
+                want.append(good == left + right or bool(home) or (headings[i] and bool(right) and right[0] in good))
+        assert html_text.second_pass(labels, containers, headings) == want
+
+
+def test_main_text_of_a_very_long_page(spark):
+    """A page larger than an Arrow batch, in one block and in many."""
+    one, many = f"<p>{LONG * 40_000}</p>", f"<p>{LONG}</p>" * 40_000
+    pages = spark.createDataFrame([(1, "u", one, "a"), (2, "u", many, "b")], "page_id long, url string, html string, n_chars string")
+    got = {r.page_id: r.text for r in html_text.extract_main_text(pages).collect()}
+    assert got == {1: LONG * 40_000, 2: "\n\n".join([LONG] * 40_000)}
+
+
 def test_main_text_of_all_pages(spark):
     """Pages of the test table hold their text in one article element."""
     import html
