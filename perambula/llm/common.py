@@ -107,9 +107,15 @@ BLOCK = T.StructType(
         T.StructField("digests", T.BinaryType(), False),  # 16 bytes each
         T.StructField("ends", T.BinaryType(), False),  # int64, of each text in data
         T.StructField("data", T.BinaryType(), False),
-        T.StructField("carried", T.ArrayType(T.StringType()), True),
     ]
 )
+
+
+def block_schema(carried: T.DataType | None) -> T.StructType:
+    """With `carried`, an array of what the documents carry along, in its own type."""
+    return T.StructType([*BLOCK.fields, T.StructField("carried", T.ArrayType(carried))]) if carried else BLOCK
+
+
 #: What a null id counts as: later than any other.
 LAST = np.iinfo(np.int64).max
 
@@ -138,13 +144,13 @@ def ids_in_one_bucket(task: int, n: int) -> Iterator[int]:
 
 
 def build_blocks(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of (id, text, and perhaps carried) rows; what is carried stays in Arrow's form."""
     import xxhash
 
-    schema = pa.schema(
-        [("block_id", pa.int64()), ("ids", pa.binary()), ("no_id", pa.binary()), ("digests", pa.binary()), ("ends", pa.binary()), ("data", pa.binary()), ("carried", pa.list_(pa.string()))]
-    )
+    schema = [("block_id", pa.int64()), ("ids", pa.binary()), ("no_id", pa.binary()), ("digests", pa.binary()), ("ends", pa.binary()), ("data", pa.binary())]
     names = ids_in_one_bucket(TaskContext.get().partitionId(), n)
     rows: list = []
+    parts: list[pa.Array] = []
     size = 0
 
     def block() -> pa.RecordBatch:
@@ -156,21 +162,29 @@ def build_blocks(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Recor
             "digests": b"".join(xxhash.xxh3_128_digest(t) for t in texts),
             "ends": np.cumsum([len(t) for t in texts], dtype=np.int64).tobytes(),
             "data": b"".join(texts),
-            "carried": [x[2] for x in rows],
         }
-        return pa.RecordBatch.from_pylist([row], schema)
+        columns = [pa.array([row[name]], kind) for name, kind in schema]
+        if parts:
+            columns.append(pa.ListArray.from_arrays([0, len(rows)], pa.concat_arrays(parts)))
+        return pa.RecordBatch.from_arrays(columns, [name for name, _ in schema] + ["carried"] * bool(parts))
 
     for batch in batches:
-        ids, texts, carried = (batch.column(i) for i in range(3))
-        for i, t, c in zip(ids.to_pylist(), texts.cast(pa.binary()), carried.to_pylist(), strict=True):
+        carried = batch.column(2) if batch.num_columns > 2 else None
+        begin = 0
+        for k, (i, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True)):
             t = t.as_py() or b""
             if rows and size + len(t) > BLOCK_BYTES:
+                if carried is not None and k > begin:
+                    parts.append(carried.slice(begin, k - begin))
                 yield block()
-                rows, size = [], 0
-            rows.append((i, t, c))
+                rows, parts, size, begin = [], [], 0, k
+            rows.append((i, t))
             size += len(t)
+        if carried is not None and batch.num_rows > begin:
+            parts.append(carried.slice(begin))
     if rows:
         yield block()
+    give_back()
 
 
 class Blocks:
@@ -179,14 +193,15 @@ class Blocks:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None):
         self.spark = spark = docs.sparkSession
         bound_batches(spark)
-        carried = F.to_json(F.struct(*[docs[c] for c in carry]), {"ignoreNullFields": "false"}) if carry else F.lit(None).cast("string")
-        rows = docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].alias("t"), carried.alias("c"))
+        carried = [F.struct(*[docs[c] for c in carry]).alias("c")] if carry else []
+        rows = docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].alias("t"), *carried)
+        self.carried = rows.schema["c"].dataType if carry else None
         self.n = min(MOST_BUCKETS, max(shuffle_partitions(spark), input_bytes(docs) // BUCKET_BYTES))
         self.buckets = 4 * self.n
         self.name = f"perambula_blocks_{uuid.uuid4().hex}"
         n = self.n
         (
-            rows.mapInArrow(lambda batches: build_blocks(batches, n), BLOCK)
+            rows.mapInArrow(lambda batches: build_blocks(batches, n), block_schema(self.carried))
             .write.format("parquet")
             .option("path", new_path(spark, "blocks"))
             .option("compression", "zstd")
@@ -260,7 +275,8 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Row by row, so that at most one block's Python objects live at a time."""
     for batch in batches:
         for i in range(batch.num_rows):
-            yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
+            cells = {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
+            yield {name: x.values if name == "carried" else x.as_py() for name, x in cells.items()}
     give_back()
 
 
@@ -398,6 +414,23 @@ def window_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(a[:n], a[width - span : width - span + n])
 
 
+def window_argmin(a: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least of each run of width values, and where it stands first."""
+    n = len(a) - width + 1
+    if n <= 0:
+        return a[:0], np.zeros(0, np.int64)
+
+    def least(one, other):
+        smaller = other[0] < one[0]
+        return np.where(smaller, other[0], one[0]), np.where(smaller, other[1], one[1])
+
+    at, span = np.arange(len(a)), 1
+    while span * 2 <= width:
+        a, at = least((a[:-span], at[:-span]), (a[span:], at[span:]))
+        span *= 2
+    return least((a[:n], at[:n]), (a[width - span : width - span + n], at[width - span : width - span + n]))
+
+
 def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
     """By the upper half of a hash; the lower half is then free to be a short key."""
     return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)

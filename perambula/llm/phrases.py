@@ -5,16 +5,17 @@ A passage is `window` consecutive words. It is repeated if a document with a sma
 1. Every window names one anchor phrase of `phrase` words, the one with the least hash in it, so equal
    windows name equal phrases. Blocks exchange the phrases' hashes and learn which recur in a second
    document: the recurring phrases.
-2. Each block compiles its recurring phrases into Aho-Corasick automata (the shards: one for each block,
-   of bounded size) and streams its documents through them; a hit is confirmed by the phrase's full hash.
-   All windows around hits are candidates, and blocks exchange their 96-bit hashes with the smallest id
-   that has each.
-3. Each block learns which of its windows start in a smaller document elsewhere, and removes the words
-   that such windows cover.
+2. The automata are sharded by block, so that a document meets the phrases that it can hold and no others:
+   a block compiles its recurring phrases into one Aho-Corasick automaton, over its words as numbers, and
+   streams all its documents through it. The automaton locates every occurrence, those in windows that name
+   another phrase and those in other documents of the block included.
+3. Windows around occurrences are candidates. Blocks exchange 128-bit digests of their text with the
+   smallest id that has each, and a passage is confirmed where a second document has it. A block gets one
+   bit for each of its windows, and cuts out the words that repeated windows cover.
 
 Copies of a whole text are settled by a digest first: only the smallest holder goes through the steps.
-Shuffled are 4 bytes for about one word in 17 and 21 bytes for each candidate window; texts are read from
-the block table three times and never shuffled. A hot passage comes once per block.
+Shuffled are 4 bytes for about one word in 17, and 24 bytes and one bit for each candidate window; texts are
+read from the block table three times and never shuffled. A hot passage comes once per block.
 """
 
 from __future__ import annotations
@@ -38,7 +39,6 @@ from perambula.llm.common import (
     bucket_of,
     first_holders,
     first_ids,
-    is_in,
     messages,
     mix,
     powers,
@@ -48,25 +48,17 @@ from perambula.llm.common import (
     runs,
     split_by_bucket,
     stir,
-    window_min,
+    window_argmin,
+    write_table,
 )
 
 WINDOW = 50
 PHRASE = 16
-SECOND_BASE = 0xC2B2AE3D27D4EB4F
-
-RESULT = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("n_words", T.LongType(), False),
-        T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))),
-        T.StructField("kept_text", T.StringType(), False),
-        T.StructField("carried", T.StringType()),
-    ]
-)
-RESULT_ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept_text", pa.string()), ("carried", pa.string())]
-)
+#: Characters that stand for a word: all of Unicode but surrogates and zero.
+LETTERS = 0x110000 - 0x800 - 1
+
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
+SPANS_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
 #: Bytes that are cut into words together.
@@ -90,65 +82,94 @@ def pieces(block: Block, which: np.ndarray, most: int = PIECE) -> Iterator[np.nd
         yield np.array(group)
 
 
+def word_edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and stop; the data ends with white space."""
+    edges = np.diff(SPACES[data].view(np.int8), prepend=1)
+    return np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+
+
 class Words:
     """The words of a block's documents that have a window, as one sequence of hashes.
 
-    Words are found and hashed over the bytes of some documents at a time; no word becomes an object.
+    Words are found and hashed over the bytes of some documents at a time; no word becomes an object. The
+    text of words that stand side by side is data[begin of the first : end of the last], with one space
+    between two.
     """
 
     def __init__(self, block: Block, which: np.ndarray, window: int):
-        docs, symbols, counts = [], [], []
+        docs, symbols, counts, texts, begin, end = [], [], [], [], [], []
+        size = 0
         for group in pieces(block, which):
             data = np.frombuffer(b" ".join([block.text(i) for i in group]) + b" ", np.uint8)
             begins = np.cumsum([0, *[int(block.ends[i] - block.starts[i]) + 1 for i in group[:-1]]])
-            space = SPACES[data]
-            edges = np.diff(space.view(np.int8), prepend=1)
-            starts, stops = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+            starts, stops = word_edges(data)
             sums = Rolling(BYTES[data]).sums
             hashes = mix((sums[stops] - sums[starts]) * powers(INVERSE, len(data))[starts])
             of = np.searchsorted(begins, starts, side="right") - 1
             n = np.bincount(of, minlength=len(group))
             enough = n >= window
+            own = enough[of]
             docs.append(group[enough])
             counts.append(n[enough])
-            symbols.append(hashes[enough[of]])
-        self.docs = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-        lengths = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-        self.symbols = np.concatenate(symbols) if symbols else np.zeros(0, np.uint64)
+            symbols.append(hashes[own])
+            plain = ~SPACES[data]
+            plain[stops] = True
+            plain = np.where(SPACES[data[plain]], np.uint8(32), data[plain])
+            after = np.cumsum(stops - starts + 1)
+            end.append(after[own] - 1 + size)
+            begin.append(end[-1] - (stops - starts)[own])
+            texts.append(plain)
+            size += len(plain)
+        join = lambda parts, t: np.concatenate(parts) if parts else np.zeros(0, t)
+        self.docs, lengths, self.symbols = join(docs, np.int64), join(counts, np.int64), join(symbols, np.uint64)
+        self.data, self.begin, self.end = join(texts, np.uint8), join(begin, np.int64), join(end, np.int64)
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
         self.doc_of = np.repeat(np.arange(len(lengths)), lengths)
         self.room = np.repeat(self.ends, lengths) - np.arange(len(self.symbols))  # words from here to the document's end
 
     def anchors(self, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Phrase hashes at all places; each run of windows' anchor, mixed; the run's document."""
-        hashes = Rolling(self.symbols).windows(phrase, stir)
-        least = window_min(hashes, window - phrase + 1)
+        """Each run of windows' anchor, mixed; where it stands first; the run's document."""
+        least, place = window_argmin(Rolling(self.symbols).windows(phrase, stir), window - phrase + 1)
         first, _ = runs(least, self.starts, self.ends, window) if len(least) else (self.starts[:0], None)
-        return hashes, mix(least[first]), self.doc_of[first]  # least hashes are small; mixed, they spread over all buckets
+        return mix(least[first]), place[first], self.doc_of[first]  # least hashes are small; mixed, they spread over all buckets
+
+    def letters(self) -> str:
+        """The words as characters, equal ones for equal words; different ones for different words of up to LETTERS."""
+        _, number = np.unique(self.symbols, return_inverse=True)
+        code = (number % LETTERS).astype(np.uint32) + np.uint32(1)
+        code[code >= 0xD800] += np.uint32(0x800)
+        return code.tobytes().decode("utf-32-le")
 
+    def digests(self, at: np.ndarray, window: int) -> np.ndarray:
+        """128-bit digests of the texts of windows, as pairs."""
+        import xxhash
 
-def hits(words: Words, hashes: np.ndarray, recurring: np.ndarray, phrase: int) -> np.ndarray:
-    """Places of all recurring phrases, found by streaming the words through their automaton."""
+        text = memoryview(self.data.tobytes())
+        make = xxhash.xxh3_128_digest
+        found = b"".join([make(text[a:b]) for a, b in zip(self.begin[at].tolist(), self.end[at + window - 1].tolist(), strict=True)])
+        return np.frombuffer(found, np.uint64).reshape(-1, 2)
+
+
+def occurrences(words: Words, places: np.ndarray, phrase: int) -> np.ndarray:
+    """Where the phrases that stand at the places occur: all words are streamed through the phrases' automaton."""
     import ahocorasick
 
-    if not len(recurring):
-        return np.zeros(0, np.int64)
-    code = (words.symbols % np.uint64(0x110000 - 0x800 - 1)).astype(np.uint32) + np.uint32(1)
-    code[code >= 0xD800] += np.uint32(0x800)
-    text = code.tobytes().decode("utf-32-le")
-    hashes = mix(hashes)
-    at = np.flatnonzero(is_in(hashes, recurring) & (words.room[: len(hashes)] >= phrase))
-    kinds, first = np.unique(hashes[at], return_index=True)
-    automaton = ahocorasick.Automaton()
-    for k, p in enumerate(at[first].tolist()):
-        automaton.add_word(text[p : p + phrase], k)
-    if not len(automaton):
+    if not len(places):
         return np.zeros(0, np.int64)
+    text = words.letters()
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for p in places.tolist():
+        automaton.add_word(text[p : p + phrase], p)
     automaton.make_automaton()
     found = np.fromiter((x for hit in automaton.iter(text) for x in hit), np.int64).reshape(-1, 2)
-    place = found[:, 0] - phrase + 1
-    return place[(hashes[place] == kinds[found[:, 1]]) & (words.room[place] >= phrase)]
+    at, model = found[:, 0] - phrase + 1, found[:, 1]
+    inside = words.room[at] >= phrase
+    at, model = at[inside], model[inside]
+    same = np.ones(len(at), bool)
+    for k in range(phrase):  # compared word by word: letters may be shared
+        same &= words.symbols[at + k] == words.symbols[model + k]
+    return at[same]
 
 
 def candidates(words: Words, places: np.ndarray, window: int, phrase: int) -> np.ndarray:
@@ -160,84 +181,78 @@ def candidates(words: Words, places: np.ndarray, window: int, phrase: int) -> np
     return np.flatnonzero((np.cumsum(step[:n]) > 0) & (words.room >= window))
 
 
-def window_hashes(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    other = (words.symbols ^ (words.symbols >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return Rolling(words.symbols).windows(window), (Rolling(other, SECOND_BASE).windows(window) >> np.uint64(32)).astype(np.uint32)
+#: The bucket of what a block tells itself.
+OWN = -1
 
 
-def ask_windows(block_id: int, h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, n: int) -> pa.RecordBatch:
-    """One record per distinct window: hashes, smallest id in the block, whether it has a larger one too."""
-    order = np.lexsort((ids, h2, h1))
-    h1, h2, ids = h1[order], h2[order], ids[order]
-    fresh = np.ones(len(h1), bool)
-    fresh[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-    starts = np.flatnonzero(fresh)
-    more = np.maximum.reduceat(ids, starts) > ids[starts] if len(starts) else fresh
-    h1, h2, ids = h1[starts], h2[starts], ids[starts]
+def ask_windows(block: Block, words: Words, at: np.ndarray, window: int, n: int) -> pa.RecordBatch:
+    """One record per distinct window: its digest and the smallest id in the block; and to itself where each of them stands."""
+    digests = words.digests(at, window)
+    docs = words.docs[words.doc_of[at]]
+    order = np.lexsort((digests[:, 1], digests[:, 0]))
+    sorted_ = digests[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (sorted_[1:] != sorted_[:-1]).any(axis=1)
+    number = np.empty(len(order), np.uint32)
+    number[order] = np.cumsum(fresh) - 1
+    distinct = sorted_[fresh]
+    least = np.minimum.reduceat(block.ids[docs][order], np.flatnonzero(fresh))
+    starts = (at - words.starts[words.doc_of[at]]).astype(np.int64)
+    change = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (starts[1:] != starts[:-1] + 1)]))
+    lengths = np.diff(np.append(change, len(at)))
 
     def payloads():
-        for b, at in split_by_bucket(bucket_of(h1, n)):
-            yield b, h1[at].tobytes() + ids[at].tobytes() + h2[at].tobytes() + more[at].tobytes()
+        for b, part in split_by_bucket(bucket_of(distinct[:, 0], n)):
+            yield b, distinct[part].tobytes() + least[part].tobytes()
+        head = np.array([len(at), len(change)], np.int64)
+        yield OWN, head.tobytes() + docs[change].tobytes() + starts[change].tobytes() + lengths.tobytes() + number.tobytes()
 
-    return messages(block_id, payloads())
+    return messages(block.id, payloads())
 
 
 def reduce_windows(payloads: list[bytes]) -> list[bytes]:
-    """Of each block's windows: those that a smaller document elsewhere has; those that only larger ones in the block repeat."""
-    counts = np.array([len(p) // 21 for p in payloads])
+    """For each window of a block a bit: does a document with a smaller id than the block's own have it?"""
+    counts = np.array([len(p) // 24 for p in payloads])
     pairs = list(zip(payloads, counts.tolist(), strict=True))
-    h1 = np.concatenate([np.frombuffer(p, np.uint64, c) for p, c in pairs])
-    ids = np.concatenate([np.frombuffer(p, np.int64, c, 8 * c) for p, c in pairs])
-    h2 = np.concatenate([np.frombuffer(p, np.uint32, c, 16 * c) for p, c in pairs])
-    more = np.concatenate([np.frombuffer(p, np.uint8, c, 20 * c) for p, c in pairs]).astype(bool)
-    order = np.lexsort((h2, h1))
-    s1, s2 = h1[order], h2[order]
-    fresh = np.ones(len(s1), bool)
-    fresh[1:] = (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])
+    digests = np.concatenate([np.frombuffer(p, np.uint64, 2 * c).reshape(-1, 2) for p, c in pairs])
+    ids = np.concatenate([np.frombuffer(p, np.int64, c, 16 * c) for p, c in pairs])
+    order = np.lexsort((digests[:, 1], digests[:, 0]))
+    digests = digests[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (digests[1:] != digests[:-1]).any(axis=1)
     starts = np.flatnonzero(fresh)
-    least = np.empty(len(h1), np.int64)
-    least[order] = np.repeat(np.minimum.reduceat(ids[order], starts), np.diff(np.append(starts, len(s1))))
-    elsewhere, here = least < ids, (least == ids) & more
-    out, at = [], 0
-    for c in counts.tolist():
-        e, h = np.flatnonzero(elsewhere[at : at + c]) + at, np.flatnonzero(here[at : at + c]) + at
-        out.append(np.uint32(len(e)).tobytes() + h1[e].tobytes() + h2[e].tobytes() + h1[h].tobytes() + ids[h].tobytes() + h2[h].tobytes())
-        at += c
-    return out
-
-
-def _table(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    h1, h2, ids = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t) for k, t in enumerate((np.uint64, np.uint32, np.int64)))
-    order = np.argsort(h1)
-    return h1[order], h2[order], ids[order]
-
-
-def repeated(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
-    """Which windows start in a smaller document."""
-    there, here = [], []
-    for p in answers.values():
-        e = int(np.frombuffer(p, np.uint32, 1)[0])
-        h = (len(p) - 4 - 12 * e) // 20
-        there.append((np.frombuffer(p, np.uint64, e, 4), np.frombuffer(p, np.uint32, e, 4 + 8 * e), np.full(e, -1 << 63)))
-        o = 4 + 12 * e
-        here.append((np.frombuffer(p, np.uint64, h, o), np.frombuffer(p, np.uint32, h, o + 16 * h), np.frombuffer(p, np.int64, h, o + 8 * h)))
-    found = np.zeros(len(h1), bool)
-    k1, k2, least = _table(there + here)
-    if len(k1):
-        at = np.searchsorted(k1, h1)
-        for _ in range(4):  # equal first halves are next to each other
-            ok = np.minimum(at, len(k1) - 1)
-            found |= (k1[ok] == h1) & (k2[ok] == h2) & (ids > least[ok])
-            at = at + 1
-    return found
+    least = np.empty(len(ids), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(ids[order], starts), np.diff(np.append(starts, len(ids))))
+    smaller = np.split(least < ids, np.cumsum(counts)[:-1])
+    return [np.uint32(len(x)).tobytes() + np.packbits(x).tobytes() for x in smaller]
+
+
+def repeated(block: Block, own: bytes, answers: dict[int, bytes]) -> dict[int, np.ndarray]:
+    """The starts, counted in words, of each document's windows that also start in a smaller document."""
+    n, n_runs = np.frombuffer(own, np.int64, 2).tolist()
+    docs, starts, lengths = (np.frombuffer(own, np.int64, n_runs, 16 + 8 * n_runs * k) for k in range(3))
+    number = np.frombuffer(own, np.uint32, n, 16 + 24 * n_runs)
+    smaller = [np.unpackbits(np.frombuffer(p, np.uint8, -1, 4), count=int(np.frombuffer(p, np.uint32, 1)[0])) for _, p in sorted(answers.items())]
+    docs = np.repeat(docs, lengths)
+    starts = np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(n)
+    ids = block.ids[docs]
+    least = np.full(int(number.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, number, ids)
+    hit = np.flatnonzero((np.concatenate(smaller)[number] > 0) | (ids > least[number]))
+    by = np.argsort(docs[hit], kind="stable")
+    docs, starts = docs[hit][by], starts[hit][by]
+    return {d: starts[part] for d, part in split_by_bucket(docs)}
 
 
 def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Per document: doc_id, n_words, spans (removed runs of words), kept_text, carried.
-
-    Words are maximal runs of bytes other than space and \\t to \\r. Null text: no words. Null id: later
-    than every id, and kept null. Rows that repeat an id do not remove each other's words. An empty
-    table gives an empty table. `carry` names columns returned as JSON in `carried`, whatever their names.
+    """Per row: doc_id, n_words, spans (removed runs of words), cut_text, kept_text, and with carry: row, carried.
+
+    cut_text is the text without the spans, otherwise as it was: a span goes with the white space after it.
+    kept_text has its words joined by one space. Words are maximal runs of bytes other than space and \\t to
+    \\r. Null text: no words. Null id: later than every id, and kept null. Rows that repeat an id do not
+    remove each other's words; equal rows stay as many as they are. An empty table gives an empty table.
+    `carry` names columns that come back in the struct `row` in their own types, whatever their names, and
+    as JSON in `carried`.
     """
     blocks = Blocks(docs, id_col, text_col, carry)
     n = blocks.buckets
@@ -252,55 +267,64 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, phrase: int
         for row in rows_of(batches):
             block, _, which = active(row)
             words = Words(block, which, window)
-            _, anchors, of = words.anchors(window, phrase)
+            anchors, _, of = words.anchors(window, phrase)
             yield ask_anchors(block.id, anchors, words.docs[of] if len(of) else of, n)
 
     def locate(batches):
         for row in rows_of(batches):
             block, _, which = active(row)
             words = Words(block, which, window)
-            at_phrase, anchors, of = words.anchors(window, phrase)
+            anchors, places, of = words.anchors(window, phrase)
             recurring = recurring_anchors(anchors, words.docs[of] if len(of) else of, answers_of(row, "phrases"), n)
-            starts = candidates(words, hits(words, at_phrase, recurring, phrase), window, phrase)
-            if len(starts):
-                h1, h2 = window_hashes(words, window)
-                yield ask_windows(block.id, h1[starts], h2[starts], block.ids[words.docs[words.doc_of[starts]]], n)
+            kinds, first = np.unique(anchors, return_index=True)
+            at = candidates(words, occurrences(words, places[first[np.isin(kinds, recurring, assume_unique=True)]], phrase), window, phrase)
+            if len(at):
+                yield ask_windows(block, words, at, window, n)
 
     def finish(batches):
         for row in rows_of(batches):
-            block, first, which = active(row)
-            answers = answers_of(row, "windows")
-            covered: dict[int, np.ndarray] = {}
-            if answers:
-                words = Words(block, which, window)
-                h1, h2 = window_hashes(words, window)
-                valid = np.flatnonzero(words.room[: len(h1)] >= window)
-                starts = valid[repeated(h1[valid], h2[valid], block.ids[words.docs[words.doc_of[valid]]], answers)]
-                step = np.zeros(len(words.symbols) + 1, np.int32)
-                np.add.at(step, starts, 1)
-                np.add.at(step, starts + window, -1)
-                gone = np.cumsum(step[:-1]) > 0
-                for k in np.unique(words.doc_of[starts]):
-                    covered[int(words.docs[k])] = gone[words.starts[k] : words.ends[k]]
-            yield pa.RecordBatch.from_pylist([_settle(block, i, first, covered.get(i), window) for i in range(len(block))], RESULT_ARROW)
+            block = Block(row)
+            first = first_ids(block, answers_of(row, "holders"), n)
+            own = answers_of(row, "own").get(OWN)
+            yield _settle(block, first, repeated(block, own, answers_of(row, "windows")) if own else {}, window)
 
     phrases = blocks.exchange(blocks.attach(holders=holders).drop("carried").mapInArrow(ask_phrases, MESSAGE), reduce_anchors)
-    windows = blocks.exchange(blocks.attach(holders=holders, phrases=phrases).drop("carried").mapInArrow(locate, MESSAGE), reduce_windows)
-    return blocks.attach(holders=holders, windows=windows).mapInArrow(finish, RESULT)
-
-
-def _settle(block: Block, i: int, first: np.ndarray, gone: np.ndarray | None, window: int) -> dict:
-    own = block.text(i).split()
-    if first[i] < block.ids[i] and len(own) >= window:
-        gone = np.ones(len(own), bool)
-    spans: list = []
-    if gone is not None:
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).tolist()
-        spans = [{"start": a, "stop": b} for a, b in zip(edges[::2], edges[1::2], strict=True)]
-    n = len(own)
-    if spans:
-        own = [w for a, b in zip([0, *edges[1::2]], [*edges[::2], n], strict=True) for w in own[a:b]]
-    return {"doc_id": None if block.no_id[i] else int(block.ids[i]), "n_words": n, "spans": spans, "kept_text": b" ".join(own).decode("utf-8", "replace"), "carried": block.carried[i] if block.carried else None}
+    asked = write_table(blocks.attach(holders=holders, phrases=phrases).drop("carried").mapInArrow(locate, MESSAGE), "windows")
+    windows = blocks.exchange(asked.where(F.col("bucket") >= 0), reduce_windows)
+    result = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("cut_text", T.StringType())])
+    if blocks.carried:
+        result = T.StructType([*result.fields, T.StructField("row", blocks.carried)])
+    found = blocks.attach(holders=holders, windows=windows, own=asked.where(F.col("bucket") == OWN)).mapInArrow(finish, result)
+    kept = F.regexp_replace(F.expr("trim(BOTH ' \\t\\n\\u000B\\f\\r' FROM cut_text)"), "[\\x20\\x09-\\x0D]+", " ").alias("kept_text")
+    more = [F.col("row"), F.to_json("row", {"ignoreNullFields": "false"}).alias("carried")] if blocks.carried else []
+    return found.select("doc_id", "n_words", "spans", "cut_text", kept, *more)
+
+
+def _settle(block: Block, first: np.ndarray, repeats: dict[int, np.ndarray], window: int) -> pa.RecordBatch:
+    """The rows of a block, with what goes cut out of the texts."""
+    counts, all_spans, texts = [], [], []
+    for i in range(len(block)):
+        text = block.text(i)
+        starts, stops = word_edges(np.frombuffer(text + b" ", np.uint8))
+        n, spans = len(starts), []
+        if first[i] < block.ids[i] and n >= window:
+            spans = [(0, n)]
+        elif i in repeats:
+            step = np.zeros(n + 1, np.int32)
+            np.add.at(step, repeats[i], 1)
+            np.add.at(step, repeats[i] + window, -1)
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(step[:-1]) > 0).astype(np.int8), [0]]))).tolist()
+            spans = list(zip(edges[::2], edges[1::2], strict=True))
+        if spans:
+            goes = [(int(starts[a]), int(starts[b]) if b < n else int(stops[n - 1])) for a, b in spans]
+            text = b"".join(text[a:b] for a, b in zip([0, *[x[1] for x in goes]], [*[x[0] for x in goes], len(text)], strict=True))
+        counts.append(n)
+        all_spans.append([{"start": a, "stop": b} for a, b in spans])
+        texts.append(text.decode("utf-8", "replace"))
+    ids = pa.array(block.ids, mask=block.no_id)
+    columns = [ids, pa.array(counts, pa.int64()), pa.array(all_spans, SPANS_ARROW), pa.array(texts, pa.string())]
+    names = ["doc_id", "n_words", "spans", "cut_text"]
+    return pa.RecordBatch.from_arrays(columns + ([block.carried] if block.carried is not None else []), names + ["row"] * (block.carried is not None))
 
 
 def removed(spans: str = "spans") -> F.Column:
