@@ -6,7 +6,7 @@ stages but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from perambula.llm import packing, phrases, quality, simhash
@@ -14,7 +14,11 @@ from perambula.llm.common import write_table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules, as they are.
+
+    Rows are judged one by one, whatever their ids: repeated rows share a verdict. A null or empty text has
+    no words and goes.
+    """
     trusted = quality.trusted_documents(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.quality_rules(docs, trusted).where("kept").select("doc.*")
 
@@ -22,31 +26,39 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group: that with the smallest id, and one row of it.
 
-    An id whose texts lie in several groups is decided row by row: a text goes with its own group only.
+    Only ids that go, or that several rows have, are looked at: all other rows pass an anti-join. Of rows that
+    share an id one stays for each group that the id is first of: that with the least hash, then the least
+    text. Rows without an id are nobody's copy and stay. Null and empty texts are one group.
     """
     found = simhash.near_duplicates(docs.select("doc_id", "text")).where("doc_id is not null")
-    ids = found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"), (F.min("root") != F.max("root")).alias("several"))
-    ids = write_table(ids.where("first"), "ids")
-    nameless = docs.where("doc_id is null")
-    kept = docs.join(ids.where("not several"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(nameless)
-    if not ids.where("several").take(1):
-        return kept
-    rows = docs.join(ids.where("several"), "doc_id", "left_semi").withColumn("_digest", F.xxhash64("text"))
-    fps = simhash.fingerprints(rows.select("_digest", "text"), id_col="_digest").distinct().select(F.col("doc_id").alias("_digest"), F.col("fp").alias("_fp"))
-    firsts = found.where("doc_id = component_id").select("doc_id", F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
-    rows = rows.join(fps, "_digest").join(firsts, ["doc_id", "_fp"]).dropDuplicates(["doc_id", "_root"])
-    return kept.unionByName(rows.select(docs.columns))
+    first = F.col("doc_id") == F.col("component_id")
+    ids = found.groupBy("doc_id").agg(F.bool_or(first).alias("first"), F.count("*").alias("n"))
+    ids = write_table(ids.where("not first or n > 1"), "ids")
+    kept = docs.join(ids, "doc_id", "left_anti")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"), F.struct(*docs.columns).alias("doc"))
+    rows = rows.join(ids.where("first"), "doc_id", "left_semi")
+    fps = simhash.fingerprints(rows.select("digest", "text"), id_col="digest").distinct().select(F.col("doc_id").alias("digest"), "fp")
+    rows = rows.join(fps, "digest").join(found.where(first).select("doc_id", "fp", "root").distinct(), ["doc_id", "fp"])
+    rank = F.row_number().over(Window.partitionBy("doc_id", "root").orderBy("digest", "doc"))
+    return kept.select(docs.columns).unionByName(rows.withColumn("rank", rank).where("rank = 1").select("doc.*"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 50 words that a smaller document has; texts with nothing left go."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = phrases.remove_repeated_passages(docs, carry=rest)
-    kept = found.where("size(spans) = 0 or kept_text <> ''").select("doc_id", F.col("kept_text").alias("text"), F.from_json("carried", docs.select(*rest).schema).alias("r"))
-    kept = kept.select("doc_id", "text", *[F.col(f"r.`{c}`").alias(c) for c in rest])
-    if "n_chars" in rest:
-        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(docs.columns)
+    """Texts without the passages of 50 words that a smaller document has; texts with nothing left go.
+
+    What stays is cut out of the text, white space included; texts without such passages, null ones too, and
+    all other columns stay as they are, but n_chars is that of the cut text.
+    """
+    rest = [c for c in docs.columns if c != "text"]
+    marked = docs.select("doc_id", "text", F.struct(*rest).alias("rest"), F.col("text").isNull().alias("no_text"))
+    found = phrases.remove_repeated_passages(marked, carry=["rest", "no_text"])
+    cut = F.size("spans") > 0
+    kept = found.where(~cut | (F.col("kept_text") != ""))
+    made = {c: F.col(f"row.rest.`{c}`") for c in docs.columns if c != "text"}
+    made["text"] = F.when(~F.col("row.no_text"), F.col("cut_text"))
+    if "n_chars" in made:
+        made["n_chars"] = F.when(cut, F.length("cut_text")).otherwise(made["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[made[c].alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
