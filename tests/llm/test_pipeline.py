@@ -47,18 +47,61 @@ def test_near_copy_stage_keeps_one_of_each_group(stages):
     assert sorted(r.doc_id for r in stages[2].collect()) == sorted({rows[g][0] for g in of})
 
 
+def cut(text, gone):
+    """The text without runs of words, each with the white space after it; what stays is as it was."""
+    words = list(WORD.finditer(text))
+    out, at = [], 0
+    for k, m in enumerate(words):
+        if gone[k] and not (k and gone[k - 1]):
+            out.append(text[at : m.start()])
+            rest = [x for x in range(k, len(words)) if not gone[x]]
+            at = words[rest[0]].start() if rest else words[-1].end()
+    return "".join(out) + text[at:]
+
+
 def test_passage_stage(stages):
     from test_operators import covered
 
-    items = sorted((r.doc_id, WORD.findall(r.text)) for r in stages[2].collect())
+    rows = sorted((r.doc_id, r.text) for r in stages[2].collect())
+    items = [(i, WORD.findall(t)) for i, t in rows]
     want = {}
-    for (i, w), gone in zip(items, covered(items, 50), strict=True):
-        text = " ".join(x for x, y in zip(w, gone, strict=True) if not y)
-        if text or not any(gone):
+    for (i, w), (_, t), gone in zip(items, rows, covered(items, 50), strict=True):
+        kept = [x for x, y in zip(w, gone, strict=True) if not y]
+        text = cut(t, gone)
+        assert WORD.findall(text) == kept
+        if kept or not any(gone):
             want[i] = text
     got = {r.doc_id: (r.text, r.n_chars) for r in stages[3].collect()}
     assert {i: t for i, (t, _) in got.items()} == want
     assert all(n == len(t) for t, n in got.values())
+    assert any("\n" in t for t, _ in got.values())
+
+
+def test_passage_stage_keeps_texts_and_columns(spark):
+    """White space, microseconds, nulls, equal rows and columns with clashing names come out as they went in."""
+    import datetime
+
+    passage = " ".join(f"p{k}" for k in range(60))
+    at = datetime.datetime(2024, 1, 2, 3, 4, 5, 456789)
+    base = [
+        (1, f"one\n\n  two\t{passage}\r\n three  "),
+        (2, f"  four\n five {passage}\n\n  six\n\tseven\n"),
+        (2, "another text\n of the same id"),
+        (3, None),
+        (4, ""),
+        (5, " \n a  b \n"),
+        (5, " \n a  b \n"),
+        (6, f"{passage}  "),
+        (None, f"x {passage}\n"),
+    ]
+    rows = [(i, t, "en", k, at, [k], {"block_id": k}) for k, (i, t) in enumerate(base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, row int, block_id timestamp_ntz, no_text array<int>, rest struct<block_id: int>").repartition(3)
+    got = sorted((r.row, r.doc_id, r.text, r.spans, r.block_id, list(r.no_text), r.rest.block_id) for r in corpus_pipeline.drop_repeated_passages(spark, docs, SF).collect())
+    want = {k: t for k, (_, t) in enumerate(base)}
+    want[1], want[8] = "  four\n five six\n\tseven\n", "x \n"
+    del want[7]  # nothing is left of it
+    assert got == [(k, base[k][0], t, "en", at, [k], k) for k, t in want.items()]
+    assert corpus_pipeline.drop_repeated_passages(spark, docs, SF).dtypes == docs.dtypes
 
 
 def test_packing_stage(stages):
@@ -74,11 +117,22 @@ def test_run_equals_its_stages(spark, stages):
 
 def test_stages_take_nulls_and_empty_tables(spark):
     base = queries.table(spark, SF, "documents")
-    odd = base.limit(20).unionByName(spark.createDataFrame([(None, None, None, None, None), (1, None, "en", None, 3)], base.schema))
-    for docs in (odd, base.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, SF)
-        assert docs.count() >= 0
+    odd = base.limit(20).unionByName(spark.createDataFrame([(None, None, None, None, None), (None, "", "en", None, 0), (1, None, "en", None, 3), (1, None, "en", None, 3)], base.schema))
+    kept = corpus_pipeline.keep_quality(spark, odd, SF).collect()
+    assert 0 < len(kept) <= 20 and all(r.text for r in kept)  # no words: a failed base rule
+    nulls = odd.where("text is null or text = ''")
+    got = sorted(map(str, corpus_pipeline.drop_near_copies(spark, nulls, SF).collect()))
+    assert got == sorted(map(str, nulls.distinct().collect()))  # rows without an id stay, of equal rows one
+    passed = corpus_pipeline.drop_repeated_passages(spark, odd, SF)
+    assert sorted(map(str, passed.where("text is null or text = ''").collect())) == sorted(map(str, nulls.collect()))
+    assert corpus_pipeline.pack(spark, nulls, SF).count() == 4
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, base.limit(0), SF)
+        assert none.count() == 0
+    docs = odd
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert docs.count() > 0
 
 
 def test_near_copy_stage_decides_by_row_where_ids_repeat(spark):
