@@ -10,10 +10,12 @@ Texts are cut at white space, which no token crosses; each distinct run is resol
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
 import tempfile
 import unicodedata
+import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from perambula.llm.common import bound_batches
+from perambula.llm.common import bound_batches, give_back, of_worker
 
 #: Words in the lexicon at most, and the count from which a task reports a word.
 LEXICON_WORDS = 50_000
@@ -81,6 +83,10 @@ class Merger:
         return [self.vocab[p] for p in parts]
 
 
+#: Bytes from which a word is merged on its own: rounds over all words would take as many as it has.
+LONG = 2048
+
+
 class Merges:
     """The exact merges of many words at once.
 
@@ -108,6 +114,7 @@ class Merges:
             self.tables.append((np.uint64(factor), table))
             left = left[table[slot] != left]
         self.rest = {int(self.pair[i]): int(i) for i in left}
+        self.rank_of: dict[int, int] = {}
 
     @staticmethod
     def _slot(keys: np.ndarray, factor: np.uint64) -> np.ndarray:
@@ -125,6 +132,38 @@ class Merges:
                     found[i] = self.rest[k]
         return found
 
+    def merge_one(self, flat: np.ndarray) -> np.ndarray:
+        """One long word: a heap of (rank, place) over a linked list, in n log n steps."""
+        if not self.rank_of:
+            self.rank_of = {int(x): i for i, x in enumerate(self.pair[:-1])}
+        rank_of, made, wide = self.rank_of, self.made, int(self.wide)
+        ranks = self.ranks(flat[:-1] * self.wide + flat[1:])
+        some = np.flatnonzero(ranks != self.NONE)
+        heap = list(zip(ranks[some].tolist(), some.tolist(), strict=True))
+        heapq.heapify(heap)
+        symbol: list = flat.tolist()
+        after, before = list(range(1, len(symbol) + 1)), list(range(-1, len(symbol) - 1))
+        end = len(symbol)
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] < end:
+                r = rank_of.get(symbol[i] * wide + symbol[after[i]])
+                if r is not None:
+                    heapq.heappush(heap, (r, i))
+
+        while heap:
+            r, i = heapq.heappop(heap)
+            if symbol[i] is None or after[i] >= end or rank_of.get(symbol[i] * wide + symbol[after[i]]) != r:
+                continue  # one of the two has been merged since
+            gone = after[i]
+            symbol[i], symbol[gone] = int(made[r]), None
+            after[i] = after[gone]
+            if after[i] < end:
+                before[after[i]] = i
+            offer(before[i])
+            offer(i)
+        return np.array([x for x in symbol if x is not None], np.int64)
+
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in a row, how many each has)."""
         coded = [w.encode("utf-8", "surrogatepass") for w in words]
@@ -135,6 +174,12 @@ class Merges:
         flat[ends - 1] = self.last[data[ends - 1]]
         word = np.repeat(np.arange(len(words)), n)
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        for k in np.flatnonzero(n > LONG).tolist():
+            ids = self.merge_one(flat[ends[k] - n[k] : ends[k]])
+            done.append((np.full(len(ids), k), ids))
+        if done:
+            short = n[word] <= LONG
+            flat, word = flat[short], word[short]
         while len(flat):
             rank = np.full(len(flat), self.NONE)
             inside = np.flatnonzero(word[:-1] == word[1:])
@@ -492,13 +537,21 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
     words = frequent_words(src.select("text"), tokenizer_path, lexicon_words)
     image = docs.sparkSession.sparkContext.broadcast(compile_lexicon({w: merger.merge(w) for w in words}))
 
+    job = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path, image.value)
+        kept = of_worker(("encoder",), dict)  # the last job's only
+        if job not in kept:
+            kept.clear()
+            kept[job] = Encoder(tokenizer_path, image.value)
+        encoder = kept[job]
         for ids, texts in grouped(batches):
             found = list(encoder.encode(texts))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([x.tobytes() for x, _ in found], pa.binary()), pa.array([len(x) for x, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary()).cast(pa.string())],
                 schema=ENCODED_ARROW,
             )
+        encoder.forget()
+        give_back()
 
     return src.mapInArrow(run, ENCODED)

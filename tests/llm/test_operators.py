@@ -308,6 +308,28 @@ def test_transducer_bpe(docs, empty):
     assert lexicon.encode_and_decode(empty, path).count() == 0
 
 
+def test_transducer_bpe_of_nulls_and_repeated_ids(spark, docs):
+    """Rows that share an id, equal rows and null ids are rows of their own; columns named like results are left alone."""
+    path, t = tokenizer("word_bpe_49k.json")
+    named = docs.select("doc_id", "text", F.col("lang").alias("ids"), F.col("fp").alias("n_tokens"))
+    got = sorted((str(r.doc_id), bytes(r.ids)) for r in lexicon.encode_and_decode(named, path, lexicon_words=50).collect())
+    assert got == sorted((str(i), np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes()) for i, x in texts())
+
+
+def test_merges_of_a_very_long_word():
+    """A word of a megabyte takes seconds, and the ids of the library."""
+    import time
+
+    path, t = tokenizer("word_bpe_49k.json")
+    merges = lexicon.Merges(lexicon.Merger(path))
+    rng = np.random.default_rng(3)
+    word = "".join(rng.choice(list("abcdefghiéß"), 1 << 20))
+    began = time.perf_counter()
+    flat, n = merges.merge(["short", word, "a" * 5000, "é" * 3000, "x"])
+    assert time.perf_counter() - began < 60
+    assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == [t.encode(w, add_special_tokens=False).ids for w in ("short", word, "a" * 5000, "é" * 3000, "x")]
+
+
 def test_lexicon_is_minimal_and_merges_agree():
     path, _ = tokenizer("word_bpe_49k.json")
     merger = lexicon.Merger(path)
