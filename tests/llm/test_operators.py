@@ -84,7 +84,9 @@ def test_substring_dedup_on_words(docs, empty):
     assert phrases.remove_repeated_passages(empty).count() == 0
 
 
-def test_substring_dedup_on_bytes(docs, empty):
+@pytest.mark.parametrize("hot", [64, 1])
+def test_substring_dedup_on_bytes(docs, empty, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "HOT", hot)
     items = [(i, (t or "").encode()) for i, t in texts()]
     want = []
     for (i, b), g in zip(items, covered(items, 50), strict=True):
