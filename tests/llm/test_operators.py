@@ -206,6 +206,34 @@ def test_quality_counts(spark, docs, empty):
     assert all(r.score in (None, 0.0) for r in quality.quality_rules(docs, trusted.limit(0)).collect())
 
 
+def test_quality_score_against_brute_force(docs):
+    """Hashed words and pairs, both multinomials, folds, the raise and the verdict, all made again in Python."""
+    import math
+
+    n, rows = quality.FEATURES, texts()
+    hashed = lambda *w: xxhash.xxh64_intdigest(w[-1].encode(), hashed(*w[:-1]) if len(w) > 1 else 42)
+    words = [WORD.findall(t or "") for _, t in rows]
+    feats = [[hashed(x) % n for x in w] + [hashed(a, b) % n for a, b in zip(w, w[1:], strict=False)] for w in words]
+    fold = lambda i: xxhash.xxh64_intdigest(int(i).to_bytes(8, "little"), hashed("fold")) % quality.FOLDS
+    trusted = [k for k, (i, _) in enumerate(rows) if i is not None and (i < 40 or 300 <= i < 306)]
+    corpus = np.bincount([f for fs in feats for f in fs], minlength=n)
+    share = (corpus + 1) / (corpus.sum() + n)
+
+    def ratio(members):
+        target = np.bincount([f for k in members for f in feats[k]], minlength=n)
+        return np.log((target + 0.1 * target.sum() * share) / (1.1 * target.sum()) / share)
+
+    got = {r.doc.fp: r for r in quality.quality_rules(docs, docs.where("doc_id < 40 or doc_id between 300 and 305").select("doc_id")).collect()}
+    own = [ratio([j for j in trusted if fold(rows[j][0]) != fold(rows[k][0])])[feats[k]].mean() for k in trusted if not got[k].base_failed]
+    low = sorted(own)[max(0, math.ceil(quality.QUANTILE * len(own)) - 1)]
+    weight, raised = ratio(trusted), max(0.0, quality.THRESHOLD - low)
+    assert raised > 0
+    for k, fs in enumerate(feats):
+        if not got[k].base_failed:
+            want = weight[fs].mean() + raised
+            assert abs(got[k].score - want) < 1e-4 and got[k].kept == (want >= quality.THRESHOLD)
+
+
 def test_quality_separates_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (queries.table(spark, sf, n) for n in ("documents", "labels"))
