@@ -100,6 +100,16 @@ def only(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[c for c in names if c in df.columns])
 
 
+def trimmed(df: DataFrame, *names: str) -> DataFrame:
+    """df with ids as text without white space at their ends."""
+    return df.withColumns({c: strip(F.col(c).cast("string")) for c in names})
+
+
+def geometry_type(geometry: Column | str, default: str = "-") -> Column:
+    """`point` for a text that holds one, else the default."""
+    return F.when(col(geometry).rlike(r"(?i)POINT\s*\("), F.lit("point")).otherwise(F.lit(default))
+
+
 def refused(c: Column | str) -> Column:
     """Labels that say nothing: prefer not to say, unknown. False for null."""
     v = F.lower(col(c))

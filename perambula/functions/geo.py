@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,5 +80,3 @@ def to_lv95(df: DataFrame, x: str, y: str, declared: int | None = None) -> DataF
     east, north = lv95(F.col(x), F.col(y))
     return df.withColumns({x: east, y: north})
 
-
-assert math.isclose(METRES_PER_DEGREE, 111_000)

@@ -38,6 +38,11 @@ def poi_text(km: Column, direction: Column, category: Column, name: Column, digi
     return F.when(c.isNull() & n.isNull(), None).otherwise(text)
 
 
+def poi_sentences(items: Column | str, default: str = "point of interest", digits: int = 3) -> Column:
+    """The sentences of an array of (km, direction, category, name) structs as an array, nearest first."""
+    return F.transform(F.array_sort(col(items)), lambda x: poi_sentence(x["km"], x["direction"], x["category"], x["name"], default, digits))
+
+
 def poi_sentence(km: Column, direction: Column, category: Column, name: Column, default: str = "point of interest", digits: int = 3) -> Column:
     """`0.12 km to the north: Shopping Name`."""
     label = F.concat_ws(" ", null_if_sentinel(category), null_if_sentinel(name))
@@ -78,7 +83,7 @@ def coordinate_line() -> Column:
     )
 
 
-def travel_line(opening: str = "At", verb: str = "the user traveled by ") -> Column:
+def travel_line() -> Column:
     """`At 08:30 (Monday, morning), the user traveled by walk to …`; hour_bin is a day part from 0 to 5."""
     postcode = null_if_sentinel("postcode")
     where = address(["road", "neighbourhood", "city"], ", ", "unknown address")
@@ -87,26 +92,42 @@ def travel_line(opening: str = "At", verb: str = "the user traveled by ") -> Col
     minutes = F.coalesce(F.bround("duration").cast("int").cast("string"), F.lit("unknown"))
     near = F.when(strip(F.coalesce("nearby_places", F.lit(""))) == "", F.lit("no nearby places listed")).otherwise(F.col("nearby_places"))
     return F.concat(
-        F.lit(f"{opening} "), F.date_format("started_at", "HH:mm"), F.lit(" ("), name, F.coalesce(F.concat(F.lit(", "), label), F.lit("")), F.lit(f"), {verb}"),
+        F.lit("At "), F.date_format("started_at", "HH:mm"), F.lit(" ("), name, F.coalesce(F.concat(F.lit(", "), label), F.lit("")), F.lit("), the user traveled by "),
         F.coalesce(null_if_sentinel(F.lower("mode")), F.lit("unknown")), F.lit(" to "), where, F.coalesce(F.concat(F.lit(" (postcode "), postcode, F.lit(")")), F.lit("")),
         F.lit(" (coordinates: "), plain_number(F.bround("lat", 4), 4), F.lit(", "), plain_number(F.bround("lon", 4), 4),
         F.lit("), staying for approximately "), minutes, F.lit(" minutes. The surrounding area features "), near, F.lit("."),
     )
 
 
+def spent_line() -> Column:
+    """`On At 08:30 (Monday, morning), the user spent 60 min at … (47.37, 8.54). arriving by walk. Nearby places include ….`; hour_bin is a day part from 0 to 5."""
+    postcode = null_if_sentinel("postcode")
+    where = address(["road", "neighbourhood", "city"], ", ", "unknown address")
+    label = pick(schema.SHORT_DAY_PARTS, F.col("hour_bin"))
+    name = F.coalesce(day_name("dow", schema.LONG_DAYS), F.lit("unknown day"))
+    spent = F.coalesce(F.concat(F.bround("duration").cast("int").cast("string"), F.lit(" min")), F.lit("unknown duration"))
+    near = F.when(strip(F.coalesce("nearby_places", F.lit(""))) == "", F.lit("no nearby places listed")).otherwise(F.col("nearby_places"))
+    return F.concat(
+        F.lit("On At "), F.date_format("started_at", "HH:mm"), F.lit(" ("), name, F.coalesce(F.concat(F.lit(", "), label), F.lit("")), F.lit("), the user spent "), spent,
+        F.lit(" at "), where, F.coalesce(F.concat(F.lit(" (postcode "), postcode, F.lit(")")), F.lit("")),
+        F.lit(" ("), plain_number(F.bround("lat", 4), 4), F.lit(", "), plain_number(F.bround("lon", 4), 4),
+        F.lit("). arriving by "), F.coalesce(null_if_sentinel(F.lower("mode")), F.lit("unknown")), F.lit(". Nearby places include "), near, F.lit("."),
+    )
+
+
 #: Style to (line expression, head of a day with the date as %s).
 STYLES = {
     "compact": (compact_line, "[%s]"),
     "coordinates": (coordinate_line, "Date: %s"),
     "travel": (travel_line, "--- Date: %s ---"),
-    "spent": (lambda: travel_line("On At", "the user spent time by "), "--- Date: %s ---"),
+    "spent": (spent_line, "--- Date: %s ---"),
 }
 
 
 def prompt(user: Column | str, lines: Column | str, task: str | None = None) -> Column:
-    """The evidence of one user; with a task, its text comes first."""
-    head = F.lit(f"{task}\n\n") if task else F.lit("")
-    return F.concat(head, F.lit("User: "), col(user).cast("string"), F.lit("\n\nMobility evidence:\n"), col(lines))
+    """The evidence of one user, after the text of a task: the name of one in schema.TASKS, or a text of one's own."""
+    head = schema.TASKS.get(task, f"{task}\n\nMobility evidence:\n") if task else "Mobility evidence:\n"
+    return F.concat(F.lit("User: "), col(user).cast("string"), F.lit("\n\n" + head), col(lines))
 
 
 def approximate_tokens(text: Column | str) -> Column:
@@ -154,6 +175,7 @@ def allowed_answer(value: Column | str, field: str) -> Column:
     """(value, defaulted) struct: an allowed value, the first that contains it or is in it, or the default."""
     allowed, default = schema.ALLOWED[field], schema.DEFAULTS[field]
     v = F.lower(strip(F.coalesce(col(value).cast("string"), F.lit(""))))
+    # Synonyms of allowed answers.
     for old, new in (("prefer not to say", "female"), ("other", "male"), ("5 or more", "5+"), (">16000", "16001+"), ("16000+", "16001+")):
         v = F.replace(v, F.lit(old), F.lit(new))
 

@@ -58,6 +58,17 @@ def accuracy(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     return df.agg(F.array(*parts).alias("all")).select(F.inline("all"))
 
 
+def answer_accuracy(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """(field, n, right, accuracy, empty): over all rows, in any case of letters; a missing answer is an empty text, and counted."""
+    parts = []
+    said = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    n = F.greatest(F.count("*"), F.lit(1))
+    for field, (t, p) in pairs.items():
+        right = F.count_if(said(t) == said(p))
+        parts.append(F.struct(F.lit(field).alias("field"), F.count("*").alias("n"), right.alias("right"), F.bround(right / n, 6).alias("accuracy"), F.count_if(said(p) == "").alias("empty")))
+    return df.agg(F.array(*parts).alias("all")).select(F.inline("all"))
+
+
 def majority(df: DataFrame, c: str) -> DataFrame:
     """(share): that of the most frequent class among rows that have one."""
     counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))

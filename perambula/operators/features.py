@@ -2,6 +2,8 @@
 
 Input is staypoints with user_id, started_at, finished_at, lon, lat, mode and, optionally, distance.
 Features over all days, weekdays and weekends are made in one pass by exploding each row to its slices.
+`assemble` deals the rows to their users once; every grouping, window and join by user then stays where the
+rows are, and only unicity, which compares users, shuffles again.
 """
 
 from __future__ import annotations
@@ -31,12 +33,19 @@ def places(df: DataFrame, digits: int = PLACE_DIGITS) -> DataFrame:
     return df.withColumn("place", F.concat_ws(",", F.format_string(f"%.{digits}f", "lat_r"), F.format_string(f"%.{digits}f", "lon_r")))
 
 
+def counted(df: DataFrame, by: list[str], *keys: str) -> DataFrame:
+    """(by, keys, n, p): how often each key occurs, and its share."""
+    counts = df.groupBy(*by, *keys).agg(F.count("*").alias("n"))
+    return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
+
+
+def bits(p: str = "p") -> Column:
+    """Aggregate of shares: their Shannon entropy in bits, with log2(p + 1e-10) as usual for it here."""
+    return -F.sum(F.col(p) * F.log2(F.col(p) + TINY))
+
+
 def entropy(df: DataFrame, by: list[str], key: str, name: str = "entropy") -> DataFrame:
-    """Shannon entropy of a key in bits, with log2(p + 1e-10) as usual for it here."""
-    counts = df.groupBy(*by, key).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy(*by))
-    p = F.col("n") / total
-    return counts.select(*by, (p * F.log2(p + TINY)).alias("h")).groupBy(*by).agg((-F.sum("h")).alias(name))
+    return counted(df, by, key).groupBy(*by).agg(bits().alias(name))
 
 
 def moves(df: DataFrame, by: list[str], tie: str = "location_id") -> DataFrame:
@@ -69,53 +78,95 @@ def motif_features(df: DataFrame, by: list[str], top: int = 3) -> DataFrame:
     return ranked.groupBy(*by).agg(F.count("*").alias("n_motif_types"), *shares)
 
 
-def temporal(df: DataFrame, by: list[str]) -> DataFrame:
+RHYTHMS = (3, 8, 24)
+
+
+def temporal_columns() -> list[Column]:
+    """Aggregates: days, hours, shares of weekdays and peaks, and a count for each hour that `rhythm` reads."""
     hour, weekday = F.hour("started_at"), F.weekday("started_at") < 5
     n = F.greatest(F.count("*"), F.lit(1))
     work = F.greatest(F.count_if(weekday), F.lit(1))
-    morning = F.count_if(weekday & hour.between(6, 9))
-    evening = F.count_if(weekday & hour.between(16, 19))
-    bins = [F.avg(((F.floor(hour * q / 24)) == k).cast("double")).alias(f"rhythm_q{q}_{k}") for q in (3, 8, 24) for k in range(q)]
-    return df.groupBy(*by).agg(
+    return [
         F.count("*").alias("n_stays"),
-        F.count_distinct(hour).alias("n_hours"),
-        F.count_distinct(F.to_date("started_at")).alias("n_days"),
+        F.size(F.collect_set(hour)).cast("long").alias("n_hours"),
+        F.size(F.collect_set(F.to_date("started_at"))).cast("long").alias("n_days"),
         (F.count_if(weekday) / n).alias("weekday_ratio"),
         (F.count_if(~weekday) / n).alias("weekend_ratio"),
-        (morning / work).alias("morning_peak_ratio"),
-        (evening / work).alias("evening_peak_ratio"),
-        *bins,
-    )
+        (F.count_if(weekday & hour.between(6, 9)) / work).alias("morning_peak_ratio"),
+        (F.count_if(weekday & hour.between(16, 19)) / work).alias("evening_peak_ratio"),
+        *[F.count_if(hour == h).alias(f"_hour{h}") for h in range(24)],
+    ]
+
+
+def rhythm(entropies: bool) -> dict[str, Column]:
+    """Shares of the day's equal parts, or their entropies, from the counts of hours."""
+    made = {}
+    share = lambda q, k: reduce(lambda a, b: a + b, [F.col(f"_hour{h}") for h in range(24) if h * q // 24 == k]) / F.col("n_stays")
+    for q in RHYTHMS:
+        if entropies:
+            made[f"rhythm_q{q}_entropy"] = -reduce(lambda a, b: a + b, [share(q, k) * F.log2(share(q, k) + TINY) for k in range(q)])
+        else:
+            made |= {f"rhythm_q{q}_{k}": share(q, k) for k in range(q)}
+    return made
+
+
+def _without_hours(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if not c.startswith("_hour")]
+
+
+def temporal(df: DataFrame, by: list[str]) -> DataFrame:
+    made = df.groupBy(*by).agg(*temporal_columns())
+    return made.select(*_without_hours(made), *[c.alias(n) for n, c in rhythm(False).items()])
 
 
 def rhythm_entropy(df: DataFrame, by: list[str]) -> DataFrame:
-    parts = [entropy(df.withColumn("bin", F.floor(F.hour("started_at") * q / 24)), by, "bin", f"rhythm_q{q}_entropy") for q in (3, 8, 24)]
-    return reduce(lambda a, b: a.join(b, by), parts)
+    made = df.groupBy(*by).agg(*temporal_columns())
+    return made.select(*by, *[c.alias(n) for n, c in rhythm(True).items()])
+
+
+def seconds() -> Column:
+    return F.timestamp_diff("MICROSECOND", F.col("started_at"), F.col("finished_at")) / 1e6
+
+
+def with_means(df: DataFrame, by: list[str]) -> DataFrame:
+    """With the mean point (clat, clon) and, of stays of positive length, d, their mean and number."""
+    w = Window.partitionBy(*by)
+    there = F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    df = df.withColumn("d", F.when(seconds() > 0, seconds()))
+    return df.withColumns({"clat": F.avg(F.when(there, F.col("lat"))).over(w), "clon": F.avg(F.when(there, F.col("lon"))).over(w), "d_mean": F.avg("d").over(w), "d_n": F.count("d").over(w)})
+
+
+def fragmentation_column() -> Column:
+    value = F.avg(F.abs(F.col("d") - F.col("d_mean")) / (F.col("d_mean") + TINY))
+    return F.when(F.max("d_n") > 1, value).otherwise(F.lit(0.0)).alias("time_fragmentation")
 
 
 def fragmentation(df: DataFrame, by: list[str]) -> DataFrame:
     """Mean relative deviation of stay durations from their mean; 0 for fewer than two of positive length."""
-    seconds = F.timestamp_diff("MICROSECOND", F.col("started_at"), F.col("finished_at")) / 1e6
-    rows = df.withColumn("d", seconds).where(F.col("d") > 0)
-    w = Window.partitionBy(*by)
-    rows = rows.withColumns({"mean": F.avg("d").over(w), "n": F.count("*").over(w)})
-    value = F.avg(F.abs(F.col("d") - F.col("mean")) / (F.col("mean") + TINY))
-    return rows.groupBy(*by).agg(F.when(F.max("n") > 1, value).otherwise(F.lit(0.0)).alias("time_fragmentation"))
+    return with_means(df, by).where("d is not null").groupBy(*by).agg(fragmentation_column())
 
 
-def distance_stats(df: DataFrame, by: list[str], c: str = "distance") -> DataFrame:
-    return df.groupBy(*by).agg(
+def distance_columns(c: str = "distance") -> list[Column]:
+    return [
         F.count(c).alias("n_trips"), F.sum(c).alias("total_km"), F.avg(c).alias("mean_km"), F.max(c).alias("max_km"), F.min(c).alias("min_km"),
         F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("std_km"), (F.max(c) - F.min(c)).alias("range_km"),
-    )
+    ]
+
+
+def distance_stats(df: DataFrame, by: list[str], c: str = "distance") -> DataFrame:
+    return df.groupBy(*by).agg(*distance_columns(c))
+
+
+def gyration_column() -> Column:
+    d = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))
+    return F.when(F.count(d) < 2, F.lit(0.0)).otherwise(F.sqrt(F.avg(d * d))).alias("rog_km")
 
 
 def gyration(df: DataFrame, by: list[str]) -> DataFrame:
     """Radius of gyration in km about the mean point; 0 for fewer than two points."""
-    rows = df.where("lon is not null and lat is not null")
-    centre = rows.groupBy(*by).agg(F.avg("lat").alias("clat"), F.avg("lon").alias("clon"))
-    d = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))
-    return rows.join(centre, by).groupBy(*by).agg(F.when(F.count("*") < 2, F.lit(0.0)).otherwise(F.sqrt(F.avg(d * d))).alias("rog_km"))
+    w = Window.partitionBy(*by)
+    rows = df.where("lon is not null and lat is not null").withColumns({"clat": F.avg("lat").over(w), "clon": F.avg("lon").over(w)})
+    return rows.groupBy(*by).agg(gyration_column())
 
 
 def gyration_of_trips(df: DataFrame, by: list[str], c: str = "distance") -> DataFrame:
@@ -123,16 +174,39 @@ def gyration_of_trips(df: DataFrame, by: list[str], c: str = "distance") -> Data
     return df.groupBy(*by).agg(F.sqrt(F.coalesce(F.var_samp(c), F.lit(0.0))).alias("rog_trips"))
 
 
+def farthest(points: DataFrame, by: list[str], most: int = HULL_POINTS, seed: int = 42) -> DataFrame:
+    """(by, diameter_km) of distinct points (lat_r, lon_r), pair by pair; of more than `most` those with the least hash count."""
+    w = Window.partitionBy(*by)
+    order = [F.xxhash64("lat_r", "lon_r", F.lit(seed)), "lat_r", "lon_r"]
+    sampled = points.select(*by, "lat_r", "lon_r", F.row_number().over(w.orderBy(*order)).alias("k")).where(F.col("k") <= most)
+    listed = sampled.withColumn("all", F.collect_list(F.struct("k", "lat_r", "lon_r")).over(w))
+    later = F.filter("all", lambda o: o["k"] > F.col("k"))
+    pairs = listed.select(*by, "lat_r", "lon_r", F.explode_outer(later).alias("o"))
+    far = geo.haversine_km(F.col("lat_r"), F.col("lon_r"), F.col("o.lat_r"), F.col("o.lon_r"))
+    return pairs.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("o").isNotNull(), far)), F.lit(0.0)).alias("diameter_km"))
+
+
 def diameter(df: DataFrame, by: list[str], most: int = HULL_POINTS, seed: int = 42) -> DataFrame:
     """Largest distance between two of a user's distinct places; of more than `most` places those with the least hash count."""
-    points = df.where("lon is not null and lat is not null").select(*by, "lat_r", "lon_r").distinct()
-    w = Window.partitionBy(*by).orderBy(F.xxhash64("lat_r", "lon_r", F.lit(seed)), "lat_r", "lon_r")
-    sampled = points.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
-    lists = sampled.groupBy(*by).agg(F.collect_list(F.struct("k", "lat_r", "lon_r")).alias("all"))
-    pairs = sampled.join(lists, by).withColumn("o", F.explode("all")).where("o.k > k")
-    far = geo.haversine_km(F.col("lat_r"), F.col("lon_r"), F.col("o.lat_r"), F.col("o.lon_r"))
-    found = pairs.groupBy(*by).agg(F.max(far).alias("far"))
-    return points.select(*by).distinct().join(found, by, "left").select(*by, F.coalesce("far", F.lit(0.0)).alias("diameter_km"))
+    return farthest(df.where("lon is not null and lat is not null").select(*by, "lat_r", "lon_r").distinct(), by, most, seed)
+
+
+def moment_columns() -> list[Column]:
+    return [F.count("lat").alias("_n"), F.var_samp("lat").alias("_a"), F.var_samp("lon").alias("_c"), F.covar_samp("lat", "lon").alias("_b")]
+
+
+def ellipse_columns() -> dict[str, Column]:
+    """Of moments of (lat, lon)."""
+    a, b, c = F.col("_a"), F.col("_b"), F.col("_c")
+    half, root = (a + c) / 2, F.sqrt(F.pow((a - c) / 2, 2) + b * b)
+    e1, e2 = F.sqrt(F.greatest(half + root, F.lit(0.0))), F.sqrt(F.greatest(half - root, F.lit(0.0)))
+    theta = F.degrees(F.atan2(2 * b, a - c) / 2)
+    some = F.col("_n") >= 3
+    return {
+        "ellipse_area": F.when(some, F.pi() * e1 * e2).otherwise(F.lit(0.0)),
+        "ellipse_eccentricity": F.when(some & (e1 > 0), F.sqrt(F.greatest(1 - F.pow(e2 / e1, 2), F.lit(0.0)))).otherwise(F.lit(0.0)),
+        "ellipse_direction": F.when(some, F.when(theta < 0, theta + 180).otherwise(theta)).otherwise(F.lit(0.0)),
+    }
 
 
 def ellipse(df: DataFrame, by: list[str]) -> DataFrame:
@@ -140,52 +214,48 @@ def ellipse(df: DataFrame, by: list[str]) -> DataFrame:
 
     The direction is that of the long axis in degrees from the latitude axis, its longitude part not negative.
     """
-    m = df.groupBy(*by).agg(F.count("lat").alias("n"), F.var_samp("lat").alias("a"), F.var_samp("lon").alias("c"), F.covar_samp("lat", "lon").alias("b"))
-    half = (F.col("a") + F.col("c")) / 2
-    root = F.sqrt(F.pow((F.col("a") - F.col("c")) / 2, 2) + F.col("b") * F.col("b"))
-    m = m.withColumns({"e1": F.sqrt(F.greatest(half + root, F.lit(0.0))), "e2": F.sqrt(F.greatest(half - root, F.lit(0.0)))})
-    theta = F.degrees(F.atan2(2 * F.col("b"), F.col("a") - F.col("c")) / 2)
-    theta = F.when(theta < 0, theta + 180).otherwise(theta)
-    some = F.col("n") >= 3
-    return m.select(
-        *by,
-        F.when(some, F.pi() * F.col("e1") * F.col("e2")).otherwise(F.lit(0.0)).alias("ellipse_area"),
-        F.when(some & (F.col("e1") > 0), F.sqrt(F.greatest(1 - F.pow(F.col("e2") / F.col("e1"), 2), F.lit(0.0)))).otherwise(F.lit(0.0)).alias("ellipse_eccentricity"),
-        F.when(some, theta).otherwise(F.lit(0.0)).alias("ellipse_direction"),
-    )
+    return df.groupBy(*by).agg(*moment_columns()).select(*by, *[c.alias(n) for n, c in ellipse_columns().items()])
 
 
 def mode_features(df: DataFrame, by: list[str], modes: list[str]) -> DataFrame:
     """Counts and shares of the named modes, their number, entropy and the largest share."""
-    n = F.greatest(F.count("*"), F.lit(1))
-    counts = [F.count_if(F.col("mode") == m).alias(f"mode_{m}_count") for m in modes]
-    shares = [(F.count_if(F.col("mode") == m) / n).alias(f"mode_{m}_ratio") for m in modes]
-    own = df.groupBy(*by).agg(*counts, *shares, F.count_distinct("mode").alias("mode_diversity"))
-    most = df.groupBy(*by, "mode").agg(F.count("*").alias("n")).groupBy(*by).agg((F.max("n") / F.sum("n")).alias("mode_dominant_ratio"))
-    return own.join(entropy(df, by, "mode", "mode_entropy"), by).join(most, by)
+    own = lambda m, c: F.coalesce(F.sum(F.when(F.col("mode") == m, F.col(c))), F.lit(0))
+    counts = [own(m, "n").cast("long").alias(f"mode_{m}_count") for m in modes]
+    shares = [own(m, "p").cast("double").alias(f"mode_{m}_ratio") for m in modes]
+    return counted(df, by, "mode").groupBy(*by).agg(*counts, *shares, F.count("mode").alias("mode_diversity"), bits().alias("mode_entropy"), F.max("p").alias("mode_dominant_ratio"))
 
 
 def stays(df: DataFrame, by: list[str]) -> DataFrame:
     """(by, lat_r, lon_r, seconds, lat, lon, rank): time at each place, the longest first."""
-    seconds = F.greatest(F.timestamp_diff("MICROSECOND", F.col("started_at"), F.col("finished_at")) / 1e6, F.lit(0.0))
-    rows = df.where("lon_r is not null and lat_r is not null").groupBy(*by, "lat_r", "lon_r").agg(F.sum(F.coalesce(seconds, F.lit(0.0))).alias("seconds"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    spent = F.coalesce(F.greatest(seconds(), F.lit(0.0)), F.lit(0.0))
+    rows = df.where("lon_r is not null and lat_r is not null").groupBy(*by, "lat_r", "lon_r").agg(F.sum(spent).alias("seconds"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
     w = Window.partitionBy(*by).orderBy(F.desc("seconds"), "lat_r", "lon_r")
     return rows.withColumn("rank", F.row_number().over(w))
 
 
+def top_columns(k: int = 2) -> list[Column]:
+    return [F.max(F.when(F.col("rank") == r, F.col(c))).alias(f"top{r}_{c}") for r in range(1, k + 1) for c in ("lat", "lon")]
+
+
 def top_stays(df: DataFrame, by: list[str], k: int = 2) -> DataFrame:
-    at = lambda c, r: F.max(F.when(F.col("rank") == r, F.col(c))).alias(f"top{r}_{c}")
-    return stays(df, by).where(F.col("rank") <= k).groupBy(*by).agg(*[at(c, r) for r in range(1, k + 1) for c in ("lat", "lon")])
+    return stays(df, by).where(F.col("rank") <= k).groupBy(*by).agg(*top_columns(k))
+
+
+def long_stays(df: DataFrame, by: list[str]) -> DataFrame:
+    """The two longest stays, and k2_rog_ratio, in one pass over the ranked stays."""
+    w = Window.partitionBy(*by)
+    two = F.col("rank") <= 2
+    mean = lambda c: F.avg(F.when(two, F.col(c))).over(w)
+    rows = stays(df, by).withColumns({"clat": F.avg("lat").over(w), "clon": F.avg("lon").over(w), "tlat": mean("lat"), "tlon": mean("lon")})
+    whole = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))
+    near = F.when(two, geo.haversine_km(F.col("lat"), F.col("lon"), F.col("tlat"), F.col("tlon")))
+    ratio = F.sqrt(F.avg(near * near)) / (F.sqrt(F.avg(whole * whole)) + TINY)
+    return rows.groupBy(*by).agg(*top_columns(), F.when(F.count("*") < 2, F.lit(0.0)).otherwise(ratio).alias("k2_rog_ratio"))
 
 
 def k2_gyration(df: DataFrame, by: list[str]) -> DataFrame:
     """Gyration of the two longest stays over that of all places; 0 for fewer than two."""
-    rows = stays(df, by)
-    two = gyration(rows.where("rank <= 2"), by).withColumnRenamed("rog_km", "two")
-    whole = gyration(rows, by).withColumnRenamed("rog_km", "whole")
-    n = rows.groupBy(*by).agg(F.count("*").alias("n"))
-    ratio = F.when(F.col("n") < 2, F.lit(0.0)).otherwise(F.col("two") / (F.col("whole") + TINY))
-    return two.join(whole, by).join(n, by).select(*by, ratio.alias("k2_rog_ratio"))
+    return long_stays(df, by).select(*by, "k2_rog_ratio")
 
 
 def unicity(df: DataFrame, user: str = "user_id", metres: tuple = (200, 500), widths: tuple = (2, 3, 4)) -> DataFrame:
@@ -210,27 +280,47 @@ def rates(df: DataFrame, by: list[str], c: str = "distance") -> DataFrame:
     return df.groupBy(*by).agg((F.count("*") / days).alias("trips_per_day"), (F.coalesce(F.sum(c), F.lit(0.0)) / days).alias("distance_per_day"))
 
 
-def assemble(df: DataFrame, modes: list[str], user: str = "user_id") -> DataFrame:
-    """One wide row a user, names prefixed by the slice; what a user lacks is 0."""
-    df = places(df)
-    by = [user, "slice"]
-    sliced = slices(df)
-    parts = [temporal, rhythm_entropy, fragmentation, gyration, diameter, ellipse, od_entropy, motif_features]
-    made = [f(sliced, by) for f in parts] + [mode_features(sliced, by, modes), entropy(sliced, by, "place", "place_entropy"), sliced.groupBy(*by).agg(F.count_distinct("place").alias("n_places"))]
-    if "distance" in df.columns:
-        made.append(distance_stats(sliced, by))
-    long = reduce(lambda a, b: a.join(b, by, "left"), made)
-    names = [c for c in long.columns if c not in by]
-    pick = lambda s, c: F.max(F.when(F.col("slice") == s, F.col(c))).alias(f"{s}_{c}")
-    wide = long.groupBy(user).agg(*[pick(s, c) for s in SLICES for c in names])
-    extra = [top_stays(df, [user]), k2_gyration(df, [user]), unicity(df, user)] + ([rates(df, [user])] if "distance" in df.columns else [])
-    return reduce(lambda a, b: a.join(b, user, "left"), extra, wide).na.fill(0)
+def by_user(df: DataFrame, user: str, columns: list[str]) -> DataFrame:
+    """The named columns, dealt to users, in a plan whose shuffle is the same whatever is read of it.
 
+    Columns are packed by day above the shuffle, so that readers of some can't prune it to shuffles of their own.
+    """
+    rest = [c for c in columns if c != user]
+    dealt = places(df.select(user, *rest)).repartition(user)
+    packed = dealt.groupBy(user, F.to_date("started_at")).agg(F.collect_list(F.struct(*[c for c in dealt.columns if c != user])).alias("rows"))
+    return packed.select(user, F.inline("rows"))
 
-def column_names(df: DataFrame, but: tuple = ("user_id",)) -> list[str]:
-    return [c for c in df.columns if c not in but]
 
+def assemble(df: DataFrame, modes: list[str], user: str = "user_id", tie: str = "location_id") -> DataFrame:
+    """One wide row a user, names prefixed by the slice; what a user lacks is 0.
 
-def condition(c: Column) -> Column:
-    """A condition as 0 or 1."""
-    return F.coalesce(c.cast("int"), F.lit(0))
+    Rows are dealt to users once; each family of features is then made wide on its own, and families join by
+    user where they are.
+    """
+    by, far = [user, "slice"], "distance" in df.columns
+    base = by_user(df, user, list(dict.fromkeys(["started_at", "finished_at", "lon", "lat", "mode", tie] + (["distance"] if far else []))))
+    sliced = slices(base)
+    found = counted(sliced, by, "place", "lat_r", "lon_r")
+    plain = with_means(sliced, by).groupBy(*by).agg(*temporal_columns(), fragmentation_column(), gyration_column(), *moment_columns(), *(distance_columns() if far else []))
+    plain = plain.withColumns(rhythm(False) | rhythm(True) | ellipse_columns())
+    names = [*temporal_names(), "time_fragmentation", "rog_km", "diameter_km", *ellipse_columns(), "od_entropy", "n_motif_types"]
+    names += [f"motif_top{k}_ratio" for k in (1, 2, 3)] + [f"mode_{m}_{c}" for c in ("count", "ratio") for m in modes]
+    names += ["mode_diversity", "mode_entropy", "mode_dominant_ratio", "place_entropy", "n_places"]
+    names += ["n_trips", "total_km", "mean_km", "max_km", "min_km", "std_km", "range_km"] if far else []
+    where = found.groupBy(*by).agg(bits().alias("place_entropy"), F.count("place").alias("n_places"))
+    apart = farthest(found.where("lon_r is not null and lat_r is not null"), by)
+    wide, place = [], {}
+    for k, part in enumerate((plain, where, apart, od_entropy(sliced, by), motif_features(sliced, by), mode_features(sliced, by, modes))):
+        own = [c for c in part.columns if c in names]
+        wide.append(part.groupBy(user).agg(*[F.first(F.when(F.col("slice") == s, F.struct(*own)), True).alias(f"{s}_{k}") for s in SLICES]))
+        place |= dict.fromkeys(own, k)
+    extra = [long_stays(base, [user]), unicity(base, user)] + ([rates(base, [user])] if far else [])
+    whole = reduce(lambda a, b: a.join(b, user, "left"), [*wide, *extra])
+    last = [c for e in extra for c in e.columns if c != user]
+    return whole.select(user, *[F.col(f"{s}_{place[c]}.{c}").alias(f"{s}_{c}") for s in SLICES for c in names], *last).na.fill(0)
+
+
+def temporal_names() -> list[str]:
+    """Names of the temporal features, in order."""
+    first = ["n_stays", "n_hours", "n_days", "weekday_ratio", "weekend_ratio", "morning_peak_ratio", "evening_peak_ratio"]
+    return first + [f"rhythm_q{q}_{k}" for q in RHYTHMS for k in range(q)] + [f"rhythm_q{q}_entropy" for q in RHYTHMS]

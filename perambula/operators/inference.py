@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from perambula import schema
 from perambula.functions import labels, text
 from perambula.functions.clean import refused
+from perambula.operators import evaluate
+from perambula.operators.mobility import first_by
+from perambula.sources import files
 
 SYSTEM = "You analyse mobility. From one week of stays of a resident, predict age group, household size, gender and income level."
 MOST_CHARACTERS = 28_000
@@ -62,8 +65,8 @@ def predict(prompts: DataFrame, predictor: Callable[[list[str]], list[str]], bat
                     said += [(None, type(e).__name__)] * len(part)
                     pool = ThreadPoolExecutor(1)
                     time.sleep(back_off)
-                asked += len(part)
-                if cooldown[0] and asked % cooldown[0] < batch:
+                before, asked = asked, asked + len(part)
+                if cooldown[0] and asked // cooldown[0] > before // cooldown[0]:  # a multiple was reached
                     time.sleep(cooldown[1])
             yield pa.RecordBatch.from_arrays([pa.array(users, pa.string()), pa.array([a for a, _ in said], pa.string()), pa.array([e for _, e in said], pa.string())], ["user_id", "text", "error"])
 
@@ -81,9 +84,13 @@ def parsed(answers: DataFrame, answer: str = "text") -> DataFrame:
     return df.withColumn("error", F.coalesce("error", failed) if "error" in answers.columns else failed).drop("_json")
 
 
-def chat_records(prompts: DataFrame, truth: DataFrame, wanted: list[str], user: str = "user_id") -> DataFrame:
-    """(user_id, messages): prompts of users whose labels are all there and say something; the first row of a user counts."""
-    known = truth.select(user, *wanted).groupBy(user).agg(*[F.min(c).alias(c) for c in wanted]) if truth.count() else truth.select(user, *wanted)
+def chat_records(prompts: DataFrame, truth: DataFrame, wanted: list[str], user: str = "user_id", order: str | None = None) -> DataFrame:
+    """(user_id, messages): prompts of users whose labels are all there and say something.
+
+    The first row of a user counts, by the order column, or else by the labels themselves; labels of several
+    rows are never mixed.
+    """
+    known = first_by(truth, [user], *([order] if order else wanted)).select(user, *wanted)
     rows = prompts.join(known.dropna(subset=wanted), user)
     for c in wanted:
         rows = rows.where(~refused(c))
@@ -95,3 +102,23 @@ def truncate_user_turn(records: DataFrame, most_words: int) -> DataFrame:
     """Only the user's turn is cut, to so many words in all."""
     cut = lambda m: F.when(m["role"] == "user", F.concat_ws(" ", F.slice(F.split(m["content"], " "), 1, most_words))).otherwise(m["content"])
     return records.withColumn("messages", F.transform("messages", lambda m: F.struct(m["role"].alias("role"), cut(m).alias("content"))))
+
+
+def truncate_to_context(prompts: DataFrame, context: int = 32_768, new_tokens: int = 2_048, per_word: float = 1.3, c: str = "prompt") -> DataFrame:
+    """With prompts cut at the end to what the context leaves beside the new tokens, and `truncated`.
+
+    Tokens are estimated by words; white space before the cut stays as it is. A predictor with a tokenizer
+    of its own may cut more exactly.
+    """
+    most = max(0, int((context - new_tokens) / per_word))
+    parts = F.split(F.col(c), r"(?<=\s)(?=\S)")
+    short = F.regexp_replace(F.concat_ws("", F.slice(parts, 1, most)), r"\s+$", "")
+    long = F.size(F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")) > most
+    return prompts.withColumns({"truncated": F.coalesce(long, F.lit(False)), c: F.when(long, short).otherwise(F.col(c))})
+
+
+def write_training(records: DataFrame, path: str, share: float = 0.2, seed: int = 42, user: str = "user_id") -> None:
+    """Chat records as JSON lines in path/train and path/test; which, a hash of the user says."""
+    parts = evaluate.split(records, share, seed, user)
+    for part in ("train", "test"):
+        files.write_chat(parts.where(F.col("part") == part), f"{path}/{part}")

@@ -1,9 +1,11 @@
 """The k nearest points of interest of each location, and their texts.
 
-Two exact strategies. `broadcast` compares all pairs in one pass and is used only while the points of
-interest are few enough to be sent to every task (their number is counted). `grid` joins on cells: points
-are dealt to square cells, a location meets its own and the eight cells around, and is done if its k-th
-neighbour is no further than the cells surely reach; the rest goes on with doubled cells.
+Two exact strategies. `broadcast` compares all pairs in one pass and is used only while ids and coordinates
+of the points of interest are few and small enough to be sent to every task (both are measured). `grid`
+joins on cells: points are dealt to square cells that hold a few times k points on average, a location meets
+its own and the eight cells around, and is done if its k-th neighbour is no further than the cells surely
+reach; the rest goes on with doubled cells, until the cells reach everything. Names and categories join the
+k nearest only.
 """
 
 from __future__ import annotations
@@ -15,8 +17,11 @@ from perambula import schema
 from perambula.functions import clean, geo, text
 from perambula.operators.mobility import first_by
 
-#: Points of interest up to which they are broadcast: rows of 5 columns, some 10 MB.
-BROADCAST_ROWS = 100_000
+#: Points of interest, and bytes of their ids and coordinates, up to which they are broadcast.
+BROADCAST_ROWS = 2_000
+BROADCAST_BYTES = 1 << 20
+#: Points of a cell on average, as a multiple of k.
+CELL_POINTS = 4
 
 
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
@@ -28,36 +33,55 @@ def _pairs(joined: DataFrame) -> DataFrame:
     return joined.withColumn("metres", geo.planar(F.col("x") - F.col("lx"), F.col("y") - F.col("ly")))
 
 
-def knn_broadcast(locations: DataFrame, pois: DataFrame, k: int) -> DataFrame:
-    return _ranked(_pairs(locations.join(F.broadcast(pois), F.lit(True))), k)
+def knn_broadcast(locations: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    return _ranked(_pairs(locations.join(F.broadcast(points), F.lit(True))), k)
 
 
-def knn_grid(locations: DataFrame, pois: DataFrame, k: int, size: float = 500.0, rounds: int = 12) -> DataFrame:
+def _bounds(df: DataFrame, x: str, y: str) -> tuple:
+    """(rows, least x, largest x, least y, largest y)."""
+    return tuple(df.agg(F.count("*"), F.min(x), F.max(x), F.min(y), F.max(y)).first())
+
+
+def knn_grid(locations: DataFrame, points: DataFrame, k: int, size: float | None = None) -> DataFrame:
+    n, *box = _bounds(points, "x", "y")
+    asked, *other = _bounds(locations, "lx", "ly")
+    if not n or not asked:
+        return _ranked(_pairs(locations.join(points, F.lit(False))), k)
+    k = min(k, n)
+    extent = max(max(box[1], other[1]) - min(box[0], other[0]), max(box[3], other[3]) - min(box[2], other[2]))
+    size = size or ((box[1] - box[0]) * (box[3] - box[2]) * CELL_POINTS * k / n) ** 0.5 or extent or 1.0
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    every = Window.partitionBy("location_id")
     done, rest = None, locations
-    for _ in range(rounds):
+    while True:
         at = lambda c, s=size: F.floor(F.col(c) / s).cast("long")
-        dealt = pois.withColumns({"cx": at("x"), "cy": at("y")})
-        steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-        asked = rest.withColumn("step", F.explode(steps)).withColumns({"cx": at("lx") + F.col("step.a"), "cy": at("ly") + F.col("step.b")}).drop("step")
-        found = _ranked(_pairs(asked.join(dealt, ["cx", "cy"]).drop("cx", "cy")), k)
-        full = found.groupBy("location_id").agg(F.count("*").alias("n"), F.max("metres").alias("far")).where((F.col("n") == k) & (F.col("far") <= size)).select("location_id")
-        part = found.join(full, "location_id", "left_semi")
-        done = part if done is None else done.unionByName(part)
-        rest = rest.join(full, "location_id", "left_anti").checkpoint()
+        dealt = points.withColumns({"cx": at("x"), "cy": at("y")})
+        visits = rest.withColumn("step", F.explode(steps)).withColumns({"cx": at("lx") + F.col("step.a"), "cy": at("ly") + F.col("step.b")}).drop("step")
+        found = _ranked(_pairs(visits.join(dealt, ["cx", "cy"]).drop("cx", "cy")), k)
+        whole = F.lit(True) if size >= extent else (F.count("*").over(every) == k) & (F.max("metres").over(every) <= size)
+        found = found.withColumn("whole", whole).where("whole").drop("whole").checkpoint()
+        done = found if done is None else done.unionByName(found)
+        if size >= extent:
+            return done
+        rest = rest.join(found.where("rank = 1").select("location_id"), "location_id", "left_anti")
         if rest.isEmpty():
             return done
         size *= 2
-    last = _ranked(_pairs(rest.join(pois, F.lit(True))), k)  # far from everything: what no ring has settled
-    return done.unionByName(last)
 
 
-def knn(locations: DataFrame, pois: DataFrame, k: int, strategy: str | None = None, size: float = 500.0) -> DataFrame:
-    """(location_id, lx, ly, id, name, category, x, y, metres, rank), k rows a location; ties by id."""
-    pois = pois.select("id", "name", "category", "x", "y")
+def few(points: DataFrame) -> bool:
+    """May ids and coordinates be broadcast?"""
+    some = points.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.sum(F.octet_length(F.col("id").cast("string")) + 16)).first()
+    return some[0] <= BROADCAST_ROWS and (some[1] or 0) <= BROADCAST_BYTES
+
+
+def knn(locations: DataFrame, pois: DataFrame, k: int, strategy: str | None = None, size: float | None = None) -> DataFrame:
+    """(location_id, lx, ly, id, name, category, x, y, metres, rank), k rows a location; ties by id, which is unique."""
+    points = pois.select("id", "x", "y").dropna(subset=["x", "y"])
     locations = locations.select("location_id", F.col("x").alias("lx"), F.col("y").alias("ly")).dropna()
-    if strategy is None:
-        strategy = "broadcast" if pois.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else "grid"
-    return knn_broadcast(locations, pois, k) if strategy == "broadcast" else knn_grid(locations, pois, k, size)
+    strategy = strategy or ("broadcast" if few(points) else "grid")
+    near = knn_broadcast(locations, points, k) if strategy == "broadcast" else knn_grid(locations, points, k, size)
+    return near.join(pois.select("id", "name", "category"), "id").select("location_id", "lx", "ly", "id", "name", "category", "x", "y", "metres", "rank")
 
 
 def distinct_locations(df: DataFrame, *order) -> DataFrame:
