@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from perambula.functions import labels, text
 from perambula.functions.clean import day_part
-from perambula.operators import evaluate, inference, learn, mobility
+from perambula.operators import evaluate, inference, learn
 from perambula.plans import fixtures as fx
 from perambula.plans.fixtures import ANSWERS_SQL, CLASSES_SQL, SURVEY_SQL, r6
-from perambula.plans.mobility import enriched_week, query
+from perambula.plans.mobility import query
 
 # Survey --------------------------------------------------------------------------------------
 
@@ -253,23 +253,18 @@ def resume_anti(spark, sf):
 
 
 @query(
-    f"WITH {CLASSES_SQL}, g AS (SELECT user_id, min(t) AS t, min(p) AS p FROM cls GROUP BY 1) SELECT user_id, len(['system','user','assistant'])::BIGINT AS n, 'T: ' || t || chr(10) || 'P: ' || p AS answer FROM g WHERE t IS NOT NULL AND p IS NOT NULL"
+    "WITH f AS (SELECT o_custkey AS user_id, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS status, CASE WHEN o_orderkey % 11 = 0 THEN 'Prefer not to say' ELSE o_orderpriority END AS priority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders)"
+    " SELECT user_id, len(['system','user','assistant'])::BIGINT AS n, 'Status: ' || lower(status) || chr(10) || 'Priority: ' || lower(trim(priority)) AS answer FROM f WHERE r = 1 AND status IS NOT NULL AND lower(priority) NOT LIKE '%prefer not%'"
 )
 def chat_records(spark, sf):
-    c = fx.classes(spark, sf)
-    p = c.select("user_id", F.concat(F.lit("User: "), F.col("user_id").cast("string")).alias("prompt"))
-    made = inference.chat_records(p, c, ["t", "p"])
+    """Users with many rows of labels, of which the first counts, whole."""
+    k = F.col("o_orderkey")
+    o = fx.read(spark, sf, "orders").select(F.col("o_custkey").alias("user_id"), k, F.when(k % 7 != 0, F.col("o_orderstatus")).alias("status"), F.when(k % 11 == 0, "Prefer not to say").otherwise(F.col("o_orderpriority")).alias("priority"))
+    p = o.select("user_id").distinct().select("user_id", F.concat(F.lit("User: "), F.col("user_id").cast("string")).alias("prompt"))
+    made = inference.chat_records(p, o, ["status", "priority"], order="o_orderkey")
     return made.select("user_id", F.size("messages").alias("n"), F.col("messages")[2]["content"].alias("answer"))
 
 
-@query()
-def predicted_answers(spark, sf):
-    """The whole second stage: prompts, a predictor, recovered and validated answers."""
-    p = mobility.prompts(enriched_week(spark, sf)).select("user_id", "prompt")
-    said = inference.predict(inference.todo(p, spark.createDataFrame([], "user_id string")), inference.rule_predictor)
-    return inference.parsed(said).select("user_id", "age_group", "gender", "household_size", "household_income_level", "error")
-
-
 @query("SELECT doc_id, round_even(len(string_split(trim(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')), ' ')) * 1.3::DOUBLE, 6) + 0.0 AS tokens FROM documents")
 def approximate_tokens(spark, sf):
     return fx.read(spark, sf, "documents").select("doc_id", text.approximate_tokens("text").cast("double").alias("tokens"))
@@ -286,13 +281,16 @@ def prompt_fields(spark, sf):
 # Models --------------------------------------------------------------------------------------
 
 
+_AXES = [f"c{k}" for k in range(64)]
+
+
 @query(
-    "WITH e AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings) SELECT vec_id, "
-    + ", ".join(r6(f"({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1)") + f" AS {c}" for c in "ab") + " FROM e"
+    "WITH e AS (SELECT vec_id, " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS {c}" for k, c in enumerate(_AXES)) + " FROM embeddings) SELECT vec_id, "
+    + ", ".join(r6(f"({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1)") + f" AS {c}" for c in _AXES) + " FROM e"
 )
 def zscore(spark, sf):
-    e = fx.read(spark, sf, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"))
-    return learn.zscores(e, ["a", "b"])
+    e = fx.read(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(_AXES)])
+    return learn.zscores(e, _AXES)
 
 
 @query("SELECT c_custkey AS user_id, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS DOUBLE) AS label_index FROM customer")

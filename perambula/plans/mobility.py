@@ -45,9 +45,6 @@ def week_first_sample(spark, sf):
     return mobility.sample_week(fx.staypoints(spark, sf), how="first").select("event_id", "user_id", "date")
 
 
-@query()
-def week_hash_sample(spark, sf):
-    return mobility.sample_week(fx.staypoints(spark, sf)).select("event_id", "user_id", "date")
 
 
 @query(
@@ -122,12 +119,6 @@ def sentence_tokens(spark, sf):
     return mobility.evidence(rows, "coordinates", 50).select("user_id", "n_events", "lines")
 
 
-@query()
-def travel_tokens(spark, sf):
-    rows = mobility.attach_address(fx.staypoints(spark, sf), fx.addresses(spark, sf), order="suppkey").withColumn("hour_bin", clean.day_part("hour_bin"))
-    return mobility.evidence(rows, "travel", 40).select("user_id", "n_events", "lines")
-
-
 # Addresses and places ------------------------------------------------------------------------
 
 
@@ -281,9 +272,9 @@ def temporal_rhythm(spark, sf):
     return features.temporal(sliced(spark, sf), BY)
 
 
-@query(f"WITH {SLICED}, {_ENTROPY.format('CAST(floor(hour_bin*8/24) AS BIGINT)', 'sliced')} SELECT user_id, slice, {r6('-sum(p*log2(p+1e-10))')} AS rhythm_q8_entropy FROM e GROUP BY 1, 2")
+@query()  # its oracle is in plans/wide.py
 def rhythm_entropy(spark, sf):
-    return features.rhythm_entropy(sliced(spark, sf), BY).select(*BY, "rhythm_q8_entropy")
+    return features.rhythm_entropy(sliced(spark, sf), BY)
 
 
 @query(
@@ -345,11 +336,6 @@ def unicity(spark, sf):
     return features.unicity(features.places(fx.staypoints(spark, sf)))
 
 
-@query()
-def feature_table(spark, sf):
-    return features.assemble(fx.staypoints(spark, sf), MODES)
-
-
 @query("WITH o AS (SELECT 'lineitem' AS layer, l_suppkey AS id, CAST(NULL AS VARCHAR) AS name FROM lineitem WHERE l_quantity > 45 UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier) SELECT layer, count(*) AS n, count(name) AS named FROM o GROUP BY 1")
 def union_layers(spark, sf):
     from perambula.sources.files import union_layers as union

@@ -3,4 +3,4 @@
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-from perambula.plans import labels, mobility  # noqa: E402, F401
+from perambula.plans import hashes, labels, mobility, sources, wide  # noqa: E402, F401

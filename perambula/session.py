@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -24,3 +28,24 @@ def session(cores: int | None = None, **settings: str) -> SparkSession:
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path that all executors share and that goes when the driver ends: in spark.checkpoint.dir, or in a local session's own folder."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="perambula-")
+        atexit.register(shutil.rmtree, root.removeprefix("file://"), True)
+    path = f"{root.rstrip('/')}/perambula/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    atexit.register(_delete, at.getFileSystem(spark._jsc.hadoopConfiguration()), at)
+    return path
+
+
+def _delete(files, path) -> None:
+    try:
+        files.delete(path, True)
+    except Exception:  # noqa: BLE001  the session may have ended
+        pass

@@ -19,7 +19,7 @@ CORRUPT = "_corrupt"
 def read_staypoints_csv(spark: SparkSession, path: str, columns: T.StructType = schema.STAYPOINTS_RAW, separator: str = ",") -> DataFrame:
     """All strings. Lines with too many fields are skipped; short lines are kept, their missing fields null."""
     full = T.StructType([*columns.fields, T.StructField(CORRUPT, T.StringType())])
-    df = spark.read.schema(full).option("header", True).option("sep", separator).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    df = spark.read.schema(full).option("header", True).option("sep", separator).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).csv(path)
     # separators outside of quotes: an even number of quotes comes after them
     fields = F.size(F.split(F.col(CORRUPT), rf"{separator}(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"))
     return df.where(F.col(CORRUPT).isNull() | (fields <= len(columns.fields))).drop(CORRUPT)
