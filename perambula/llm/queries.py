@@ -33,9 +33,16 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", phrases.removed().alias("n_removed"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def sequences(docs: DataFrame) -> DataFrame:
+    """Packed with the public byte-pair vocabulary; the id after its last one is the end mark."""
+    import public_tokenizers
+
+    return packing.pack_texts(docs, tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", packing.token_length("text").alias("n"))
-    return packing.pack_documents(docs, "n")
+    found = sequences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("bin_id", "bin_capacity", "n_tokens", "doc_ids", "pieces", "offsets", "lengths", F.crc32("ids").alias("ids_crc32"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

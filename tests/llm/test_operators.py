@@ -279,6 +279,60 @@ def test_best_fit_takes_the_fullest_bin():
     assert sum(sizes) <= 264 and packing.pack(np.array([], np.int64))[2] == []
 
 
+def brute_pack(lengths, sizes, cost, opening):
+    """Best fit by looking at every bin for every piece."""
+    rooms, bins, left = [], {}, sum(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        n = lengths[i]
+        fits = [(room, b) for b, (room, _) in enumerate(rooms) if room >= n > 0 or (n == 0 and room > 0)]
+        if fits:
+            b = min(fits)[1]
+        else:
+            b = len(rooms)
+            rooms.append((opening(n, max(left, 1), sizes, cost), 0))
+        room, used = rooms[b]
+        bins[i] = (b, used)
+        rooms[b] = (room - n, used + n)
+        left -= n
+    return [bins[i] for i in range(len(lengths))], [next(c for c in sizes if c >= used) for _, used in rooms]
+
+
+def test_best_fit_against_brute_force():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        lengths = rng.integers(0, 101, int(rng.integers(1, 60)))
+        costs = []
+        for opening in (packing.opening_size, *map(packing.at_least, (25, 50, 100))):
+            bins, offsets, sizes = packing.pack(lengths, (25, 50, 100), 4, opening)
+            places, want = brute_pack(lengths.tolist(), [25, 50, 100], 4, opening)
+            assert list(zip(bins.tolist(), offsets.tolist(), strict=True)) == places and sizes == want
+            costs.append(sum(sizes) + 4 * len(sizes))
+        assert sum(x := packing.cheapest(lengths, (25, 50, 100), 4)[2]) + 4 * len(x) == min(costs)
+
+
+def test_packed_sequences(spark, docs, empty):
+    """Ids of all rows, those that share an id or have none included, come back whole; copies lie in many groups."""
+    import public_tokenizers
+
+    path = queries.tokenizer("byte_bpe_50k.tiktoken")
+    whole = packing.Tokenizer(path, public_tokenizers.PATTERN)
+    rows = [(i, t) for i, t in texts()] + [(None, "copy")] * 40 + [(7, "copy")] * 40 + [(500, "a" * 300_000), (501, "x \n" * 100_000)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, ids string").repartition(4)
+    got = packing.pack_texts(df, path, public_tokenizers.PATTERN, 50256, group_tokens=4000).collect()
+    pieces = collections.Counter()
+    for r in got:
+        ids = np.frombuffer(r.ids, "<u2")
+        assert r.n_tokens == sum(r.lengths) == len(ids) <= r.bin_capacity == min(c for c in packing.CAPACITIES if c >= r.n_tokens)
+        pieces.update((d, p, tuple(ids[a : a + n].tolist())) for d, p, a, n in zip(r.doc_ids, r.pieces, r.offsets, r.lengths, strict=True))
+    want = collections.Counter()
+    for i, t in rows:
+        ids = [*whole.encode(t or "").tolist(), 50256]
+        want.update((i, k // 4096, tuple(ids[k : k + 4096])) for k in range(0, len(ids), 4096))
+    assert pieces == want
+    assert len({r.bin_id >> 32 for r in got if None in r.doc_ids}) > 1
+    assert packing.pack_texts(empty, path, public_tokenizers.PATTERN, 50256).count() == 0
+
+
 def test_token_length(docs):
     got = {r.fp: r.n for r in docs.select("fp", packing.token_length("text").alias("n")).collect()}
     assert got == {k: len(WORD.findall(t or "")) + 1 for k, (_, t) in enumerate(texts())}
