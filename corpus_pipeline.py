@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from perambula.llm import packing, phrases, quality, simhash
+from perambula.llm import phrases, quality, queries, simhash
 from perambula.llm.common import write_table
 
 
@@ -62,8 +62,8 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in sequences of the permitted lengths."""
-    return packing.pack_documents(docs.select("doc_id", packing.token_length("text").alias("n")), "n")
+    """Token sequences of the permitted lengths, with their documents; null and empty texts are their end mark."""
+    return queries.sequences(docs.select("doc_id", "text"))
 
 
 STAGES = [
