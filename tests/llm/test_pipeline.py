@@ -105,10 +105,19 @@ def test_passage_stage_keeps_texts_and_columns(spark):
 
 
 def test_packing_stage(stages):
-    sums = {r.doc_id: r.n for r in stages[4].groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()}
-    assert sums == {r.doc_id: len(WORD.findall(r.text)) + 1 for r in stages[3].collect()}
-    full = stages[4].groupBy("bin_id").agg(F.sum("n_tokens").alias("n"), F.max("bin_capacity").alias("c")).collect()
-    assert all(r.n <= r.c and r.c in packing.CAPACITIES for r in full)
+    """Every document's ids are in the sequences, whole and in order, with its end mark."""
+    import numpy as np
+
+    tokenizer = packing.Tokenizer(queries.tokenizer("byte_bpe_50k.tiktoken"), __import__("public_tokenizers").PATTERN)
+    got: dict = {}
+    for r in stages[4].collect():
+        ids = np.frombuffer(r.ids, "<u2")
+        assert len(ids) == r.n_tokens <= r.bin_capacity in packing.CAPACITIES
+        assert [*r.offsets, r.n_tokens] == np.cumsum([0, *r.lengths]).tolist()
+        for d, p, at, n in zip(r.doc_ids, r.pieces, r.offsets, r.lengths, strict=True):
+            got.setdefault(d, {})[p] = ids[at : at + n].tolist()
+    want = {r.doc_id: [*tokenizer.encode(r.text).tolist(), 50256] for r in stages[3].collect()}
+    assert {d: [x for k in sorted(parts) for x in parts[k]] for d, parts in got.items()} == want
 
 
 def test_run_equals_its_stages(spark, stages):
@@ -125,7 +134,7 @@ def test_stages_take_nulls_and_empty_tables(spark):
     assert got == sorted(map(str, nulls.distinct().collect()))  # rows without an id stay, of equal rows one
     passed = corpus_pipeline.drop_repeated_passages(spark, odd, SF)
     assert sorted(map(str, passed.where("text is null or text = ''").collect())) == sorted(map(str, nulls.collect()))
-    assert corpus_pipeline.pack(spark, nulls, SF).count() == 4
+    assert corpus_pipeline.pack(spark, nulls, SF).select(F.sum("n_tokens"), F.sum(F.size("doc_ids"))).first() == (4, 4)
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, base.limit(0), SF)
         assert none.count() == 0
