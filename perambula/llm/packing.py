@@ -255,6 +255,6 @@ def pack_texts(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int,
 
 def token_length(text: str) -> F.Column:
     """Words of a text (runs of characters other than space and \\t to \\r) and one end mark; 1 if null."""
-    bare = F.expr(f"trim(BOTH ' \\t\\n\\u000B\\f\\r' FROM {text})")
+    bare = F.expr(f"trim(BOTH ' \\t\\n\\u000B\\u000C\\r' FROM {text})")
     gaps = F.length(F.regexp_replace(bare, "[^\\x20\\x09-\\x0D]+", "x")) - F.length(F.regexp_replace(bare, "[^\\x20\\x09-\\x0D]+", ""))
     return F.coalesce(gaps, F.lit(0)).cast("long") + 1

@@ -295,7 +295,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, phrase: int
     if blocks.carried:
         result = T.StructType([*result.fields, T.StructField("row", blocks.carried)])
     found = blocks.attach(holders=holders, windows=windows, own=asked.where(F.col("bucket") == OWN)).mapInArrow(finish, result)
-    kept = F.regexp_replace(F.expr("trim(BOTH ' \\t\\n\\u000B\\f\\r' FROM cut_text)"), "[\\x20\\x09-\\x0D]+", " ").alias("kept_text")
+    kept = F.regexp_replace(F.expr("trim(BOTH ' \\t\\n\\u000B\\u000C\\r' FROM cut_text)"), "[\\x20\\x09-\\x0D]+", " ").alias("kept_text")
     more = [F.col("row"), F.to_json("row", {"ignoreNullFields": "false"}).alias("carried")] if blocks.carried else []
     return found.select("doc_id", "n_words", "spans", "cut_text", kept, *more)
 

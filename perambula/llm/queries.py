@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perambula.llm import html_text, lexicon, packing, phrases, quality, simhash, suffixes, token_files, vectors, warc
+from perambula.llm import html_text, lexicon, oracles, packing, phrases, quality, simhash, suffixes, token_files, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What operator 9 counts before its method's verdict, which SQL cannot express."""
+    found = quality.base(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -88,6 +94,13 @@ QUERIES = {
         op8_transducer_bpe,
         op9_quality_rules,
         op10_simhash,
+        quality_base_counts,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_substring_dedup": oracles.OP3,
+    "op5_warc": oracles.OP5,
+    "op6_suffix_array_dedup": oracles.OP6,
+    "op7_embedding_near_dedup": oracles.OP7,
+    "quality_base_counts": oracles.QUALITY_BASE,
+}

@@ -37,6 +37,7 @@ def texts() -> list[tuple]:
     rows += [(300 + i, f"{some(30)}\n{passage} {some(20)}\t{line}\n{line}") for i in range(12)]
     rows += [(400, None), (401, ""), (402, " \n\t"), (403, "one"), (404, "x " * 3000), (405, passage), (405, passage), (406, base + "  " + passage), (None, passage), (None, base), (407, "Don't STOP, it's <|endoftext|> a\xa0b\x1cc\r\n")]
     rows += [(408, "a" * 5000), (409, "ab" * 2000 + "é" * 300), (410, "the same line\n" * 40)]
+    rows += [(411, "f of the leaf f"), (412, "\x0cform\x0bfeed \x0cf\x0c"), (413, f"f {passage} of"), (414, passage + " half")]
     return rows
 
 
@@ -612,6 +613,13 @@ def test_near_vectors_finds_every_pair_of_one_shard(spark):
     assert got == [(i, int(n) - 1) for i, n in enumerate(near.sum(axis=1))]
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_its_oracle(spark, sf_dir, name):
+    import oracle
+
+    assert oracle.differences(queries.QUERIES[name](spark, sf_dir), oracle.connect(sf_dir), queries.ORACLES[name]) == []
+
+
 def test_crc_column(docs):
     path, t = tokenizer("byte_bpe_50k.json")
     r = token_files.round_trip(docs.where("doc_id = 403"), path).select(F.crc32("ids")).first()[0]
