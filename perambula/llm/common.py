@@ -36,10 +36,12 @@ _own_root: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share; one is made only where the session names none."""
+    """The folder that all executors share; one is made only where a local session names none."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_root:
         _own_root.append("file://" + tempfile.mkdtemp(prefix="perambula-"))
     return _own_root[0]
@@ -54,6 +56,13 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def _forget(spark: SparkSession, table: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    except Exception:  # noqa: BLE001  the session may have ended
+        pass
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Lowers the session's Arrow batches to BATCH_BYTES, which bounds what a Python worker gets at once."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -199,6 +208,7 @@ class Blocks:
         self.n = min(MOST_BUCKETS, max(shuffle_partitions(spark), input_bytes(docs) // BUCKET_BYTES))
         self.buckets = 4 * self.n
         self.name = f"perambula_blocks_{uuid.uuid4().hex}"
+        atexit.register(_forget, spark, self.name)
         n = self.n
         (
             rows.mapInArrow(lambda batches: build_blocks(batches, n), block_schema(self.carried))

@@ -620,6 +620,81 @@ def test_query_equals_its_oracle(spark, sf_dir, name):
     assert oracle.differences(queries.QUERIES[name](spark, sf_dir), oracle.connect(sf_dir), queries.ORACLES[name]) == []
 
 
+def test_token_files_are_read_by_another_session(spark, docs):
+    """Only the folder is handed over; parts of the corpus are decoded from checkpoints."""
+    path, t = tokenizer("byte_bpe_50k.json")
+    folder = common.new_path(spark, "rans")
+    tokens = common.write_table(token_files.tokenize(docs.where("doc_id is not null"), path), "tokens")
+    token_files.write_files(tokens, folder, t.get_vocab_size(), block_tokens=3000)
+    other = spark.newSession()
+    files = token_files.TokenFiles.open(other, folder)
+    rows = token_files.read_files(other, files).orderBy("start").collect()
+    whole = b"".join(bytes(r.ids) for r in rows)
+    assert len(rows) == docs.where("doc_id is not null").count()
+    for first, n in ((0, 10), (1234, 5000), (len(whole) // 4 - 3, 3)):
+        parts = sorted((r.start, bytes(r.ids)) for r in token_files.read_range(other, files, first, n).collect())
+        assert b"".join(p for _, p in parts) == whole[4 * first : 4 * (first + n)]
+    damaged = bytearray(files.table.to_bytes())
+    damaged[-1] ^= 1
+    with pytest.raises(ValueError, match="damaged"):
+        token_files.Table.from_bytes(bytes(damaged))
+
+
+def test_tokens_keep_what_is_met_again():
+    """With room for few pieces, ids stay those of the library, and frequent pieces stay."""
+    path, t = tokenizer("byte_bpe_50k.json")
+    tokens = token_files.Tokens(path, most=200)
+    rng = np.random.default_rng(5)
+    for k in range(30):
+        some = [" ".join(["the", "house", *(f"u{x}." for x in rng.integers(0, 10**6, 60)), "the"]) for _ in range(3)]
+        flat, ends = tokens.encode(some)
+        assert [x.tolist() for x in np.split(flat, ends[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in some]
+    assert len(tokens.place) < 800 and "house" in tokens.place
+
+
+@pytest.fixture(scope="module")
+def long_docs(spark):
+    """Texts larger than a block and an Arrow batch: one, a part of it in a small text, a copy, one without spaces."""
+    words = [f"w{i}" for i in range(700_000)]
+    rows = [(1, " ".join(words)), (2, "start " + " ".join(words[1000:1060]) + " end " + " ".join(words[5:30])), (3, " ".join(words)), (4, "ab" * 2_600_000)]
+    assert min(len(rows[k][1]) for k in (0, 2, 3)) > max(common.BLOCK_BYTES, common.BATCH_BYTES)
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(2).cache()
+
+
+def test_very_long_texts_in_dedup(long_docs):
+    rows, df = long_docs
+    got = {r.doc_id: (r.n_words, r.removed) for r in phrases.remove_repeated_passages(df).select("doc_id", "n_words", phrases.removed().alias("removed")).collect()}
+    assert got == {1: (700_000, 0), 2: (87, 60), 3: (700_000, 700_000), 4: (1, 0)}
+    long, small = rows[0][1].encode(), rows[1][1].encode()
+    gone = [False] * len(small)
+    for i in range(len(small) - 49):
+        if small[i : i + 50] in long:
+            gone[i : i + 50] = [True] * 50
+    got = {r.doc_id: (r.n_bytes, r.removed) for r in suffixes.remove_repeated_bytes(df).select("doc_id", "n_bytes", suffixes.removed().alias("removed")).collect()}
+    assert got == {1: (len(long), 0), 2: (len(small), sum(gone)), 3: (len(long), len(long)), 4: (5_200_000, 0)}
+
+
+def test_very_long_texts_in_other_operators(long_docs):
+    rows, df = long_docs
+    path, t = tokenizer("byte_bpe_50k.json")
+    n = {r.doc_id: (r.n_tokens, r.crc) for r in token_files.round_trip(df, path).select("doc_id", "n_tokens", F.crc32("ids").alias("crc")).collect()}
+    for i, text in rows:
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert n[i] == (len(ids), zlib.crc32(ids.tobytes()))
+    counts = {r.doc.doc_id: (r.n_words, r.word_chars, r.n_repeat_words) for r in quality.base(df).collect()}
+    assert counts == {i: (len(x.split()), len("".join(x.split())), 0) for i, x in rows}
+    fps = {r.doc_id: (r.fp % 2**64, r.component_id) for r in simhash.near_duplicates(df).collect()}
+
+    def fingerprint(text):
+        words = text.lower().split()
+        grams = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))]
+        h = np.array([xxhash.xxh64_intdigest(g.encode(), 42) for g in grams], np.uint64)
+        return sum(1 << b for b in range(64) if 2 * int(np.count_nonzero(h >> np.uint64(b) & np.uint64(1))) > len(h))
+
+    assert {i: f for i, (f, _) in fps.items()} == {i: fingerprint(x) for i, x in rows}
+    assert fps[3][1] == 1
+
+
 def test_crc_column(docs):
     path, t = tokenizer("byte_bpe_50k.json")
     r = token_files.round_trip(docs.where("doc_id = 403"), path).select(F.crc32("ids")).first()[0]
