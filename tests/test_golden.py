@@ -321,3 +321,95 @@ def test_knn_metrics(spark):
     for metric in ("euclidean", "manhattan"):
         assert {r.id: r.predicted for r in learn.knn_classify(train, test, 1, metric=metric).collect()} == {9: "b", 8: "a"}
     assert {r.id: r.predicted for r in learn.knn_classify(train, test, 3, weighted=True).collect()} == {9: "b", 8: "a"}
+
+
+def wkb(*xy, polygon=False):
+    import struct
+
+    if polygon:
+        return struct.pack("<BIII", 1, 3, 1, len(xy)) + b"".join(struct.pack("<2d", *p) for p in xy)
+    return struct.pack("<BI2d", 1, 1, *xy[0])
+
+
+SQUARE = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0)]
+
+
+def test_geopackage(spark, tmp_path):
+    import sqlite3
+    import struct
+
+    from perambula.sources import layers
+
+    db = sqlite3.connect(tmp_path / "a.gpkg")
+    db.execute("CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT)")
+    db.execute("CREATE TABLE pois (fid INTEGER, geom BLOB, fclass TEXT, name TEXT)")
+    db.execute("INSERT INTO gpkg_geometry_columns VALUES ('pois', 'geom')")
+    head = lambda flags, srs: b"GP\0" + bytes([flags]) + struct.pack("<i", srs)
+    rows = [(1, head(1, 2056) + wkb((8.5, 47.0)), "park", "é"), (2, head(3, 2056) + bytes(32) + wkb(*SQUARE, polygon=True), "beach", None), (3, None, "x", "no place"), (4, head(1, 2056) + wkb((float("nan"), float("nan"))), "x", "empty")]
+    db.executemany("INSERT INTO pois VALUES (?, ?, ?, ?)", rows)
+    db.commit()
+    db.close()
+    found = layers.read_geopackage(spark, str(tmp_path), "pois")
+    assert [(r.layer, r.kind, r.srs) for r in found.collect()] == [("pois", "Point", 2056), ("pois", "Polygon", 2056), ("pois", None, None), ("pois", "Point", 2056)]
+    assert [tuple(r) for r in layers.points(found, "fclass", "name").collect()] == [(8.5, 47.0, "park", "é"), (1.0, 1.0, "beach", None)]
+    assert layers.read_geopackage(spark, str(tmp_path), "absent").count() == 0
+
+
+def test_shapefiles(spark, tmp_path):
+    import struct
+
+    from perambula.sources import layers
+
+    ring = struct.pack("<i4d2ii", 5, 0, 0, 2, 2, 1, len(SQUARE), 0) + b"".join(struct.pack("<2d", *p) for p in SQUARE)
+    shapes = [struct.pack("<i2d", 1, 8.5, 47.0), ring, struct.pack("<i", 0)]
+    body = b"".join(struct.pack(">2i", k + 1, len(x) // 2) + x for k, x in enumerate(shapes))
+    (tmp_path / "pois.shp").write_bytes(struct.pack(">i", 9994) + bytes(96) + body)
+    field = lambda name, size: name.encode().ljust(11, b"\0") + b"C" + bytes(4) + bytes([size]) + bytes(15)
+    records = b"".join(b" " + a.encode().ljust(8) + b.encode().ljust(6) for a, b in (("park", "P"), ("beach", "ö"), ("x", "")))
+    records = records.replace("ö     ".encode(), "ö    ".encode())
+    (tmp_path / "pois.dbf").write_bytes(bytes(4) + struct.pack("<I2H", 3, 97, 15) + bytes(20) + field("fclass", 8) + field("name", 6) + b"\r" + records)
+    found = layers.read_shapefiles(spark, str(tmp_path))
+    assert sorted((str(r.kind), r.layer, r.srs) for r in found.collect()) == [("None", "pois", 4326), ("Point", "pois", 4326), ("Polygon", "pois", 4326)]
+    assert sorted(tuple(r) for r in layers.points(found, "fclass", "name").collect()) == [(1.0, 1.0, "beach", "ö"), (8.5, 47.0, "park", "P")]
+
+
+def test_models_and_scalers_are_kept(spark, tmp_path):
+    rows = [(i, float(i % 2) + (i % 7) * 0.01, float(i % 5), "ab"[i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "user_id long, x double, noise double, c string")
+    scaled = learn.zscores(df, ["x", "noise"])
+    learn.save_scaler(df, ["x", "noise"], f"file://{tmp_path}/scaler")
+    again = learn.zscores(df, ["x", "noise"], saved=spark.read.parquet(f"file://{tmp_path}/scaler"))
+    assert scaled.orderBy("user_id").collect() == again.orderBy("user_id").collect()
+    made = learn.weighted(learn.index_labels(learn.assembled(scaled, ["x", "noise"]), "c"), "c")
+    model = learn.random_forest(numTrees=2, maxDepth=2).fit(made)
+    learn.save_model(model, f"file://{tmp_path}/model")
+    kept = learn.load_model(spark, f"file://{tmp_path}/model")
+    pick = lambda m: [r.prediction for r in m.transform(made).orderBy("user_id").collect()]
+    assert pick(kept) == pick(model)
+
+
+def test_first_row_of_a_user_counts_whole(spark):
+    p = spark.createDataFrame([("a", "hello")], "user_id string, prompt string")
+    gt = spark.createDataFrame([("a", 1, "65+", "<4000"), ("a", 2, "18-24", ">16000")], "user_id string, k int, age_group string, income_level string")
+    for order, want in (("k", "Age group: 67+\nIncome level: <4000"), (None, "Age group: 18-24\nIncome level: 16001+")):
+        assert inference.chat_records(p, gt, ["age_group", "income_level"], order=order).first().messages[2].content == want
+
+
+def test_cooldown_at_multiples(spark, monkeypatch):
+    slept = []
+    monkeypatch.setattr(inference.time, "sleep", slept.append)
+    df = spark.createDataFrame([(str(i), "x") for i in range(80)], "user_id string, prompt string").coalesce(1)
+    asked = []
+
+    class Rows:  # the plan's function, called here
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            import pyarrow as pa
+
+            batch = pa.RecordBatch.from_pydict({"user_id": [r.user_id for r in df.collect()], "prompt": ["x"] * 80})
+            return list(run(iter([batch])))
+
+    inference.predict(Rows(), lambda p: asked.append(len(p)) or p, batch=16, cooldown=(20, 7.0))
+    assert asked == [16] * 5 and slept == [7.0] * 4  # at 32, 48, 64 and 80 of 20, 40, 60 and 80
