@@ -528,8 +528,8 @@ ENCODED_ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n_tok
 def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = LEXICON_WORDS) -> DataFrame:
     """Per row: doc_id, ids (little-endian unsigned 32-bit), n_tokens, decoded.
 
-    Null and empty texts have no ids and decode to an empty text. Null ids and repeated rows are kept. An
-    empty table gives an empty lexicon and no row.
+    Null and empty texts have no ids and decode to an empty text. Null ids and repeated rows are kept. Only
+    the two named columns are read, whatever else there is. An empty table gives an empty lexicon and no row.
     """
     bound_batches(docs.sparkSession)
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))

@@ -195,7 +195,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     root names the component: where an id has several texts, components may share a component_id.
     Null and empty texts have fingerprint 0 and link like any other. A null doc_id takes part, but is
-    nobody's component_id; a component of null ids alone has a null one. Repeated rows are kept.
+    nobody's component_id; a component of null ids alone has a null one. Repeated rows are kept. Only the two
+    named columns are read, whatever else there is. An empty table gives no row.
     """
     bound_batches(docs.sparkSession)
     rows = write_table(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")

@@ -118,7 +118,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
 
     Vectors that are null, empty, zero or hold null or non-finite components, and those of a null label,
     link with nothing and are their own component. Vectors of different lengths do not link. Equal vectors
-    of a label link with each other. A null id is kept as it is and is nobody's component_id.
+    of a label link with each other. A null id links like any other, but is nobody's component_id;
+    a component of null ids alone has a null one. Rows that repeat an id are rows of their own: with equal vectors
+    they link with each other, otherwise their component is that of each row. Only the three named columns
+    are read, whatever else there is. An empty table gives no row.
     """
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[label_col].cast("long").alias("label"), vectors[vector_col].alias("embedding"))
     rows = rows.select("vec_id", "label", F.when(F.col("label").isNotNull(), usable()).alias("v"))
@@ -132,7 +135,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
 
     rows = write_table(rows.select("vec_id", "label", pack.alias("v")).mapInArrow(binary, "vec_id long, label long, vector binary"), "vectors")
     good = rows.where("vector is not null")
-    classes = write_table(good.groupBy("label", "vector").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n")).where("class_id is not null"), "classes")
+    classes = good.groupBy("label", "vector").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
+    classes = write_table(classes.withColumn("class_id", F.monotonically_increasing_id()), "classes")  # ids may repeat, classes' numbers don't
     kinds = classes.groupBy("label", F.octet_length("vector").alias("width")).agg(F.count("*").alias("n"))
     large = kinds.where(F.col("n") > ONE_SHARD)
     total = large.agg(F.sum("n")).first()[0] or 0
@@ -222,6 +226,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     links = found.groupBy("class_id").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("class_id").alias("u"), F.col("root").alias("v")))
     known = classes.join(links, "class_id", "left").join(joined, classes["class_id"] == joined["node"], "left")
-    known = known.select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "class_id").alias("component_id"))
+    known = known.select("label", "vector", "first_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "class_id").alias("root"))
+    known = known.join(known.groupBy("root").agg(F.min("first_id").alias("component_id")), "root")
     own = rows.join(known, ["label", "vector"], "left")
     return own.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -15,7 +15,6 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,12 +96,10 @@ def decide(pages: DataFrame, min_bytes: int) -> DataFrame:
 
     Hot payloads meet in a partial aggregate; of the join only payloads with copies take part.
     """
-    spark = pages.sparkSession
     sizes = write_table(pages.where(F.octet_length("html") >= min_bytes).select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest")), "digests")
     shared = sizes.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
     held = sizes.join(shared, "digest").where("page_id < keeper or page_id is null").select("page_id", "digest", "keeper").distinct()
     held = held.select(F.col("page_id").alias("held_id"), F.col("digest").alias("held_digest"), "keeper")
-    del spark
     digest = F.sha1(F.col("html").cast("binary"))
     rows = pages.select("page_id", "url", "html", digest.alias("digest"))
     return rows.join(held, rows["page_id"].eqNullSafe(held["held_id"]) & (rows["digest"] == held["held_digest"]), "left").select("page_id", "url", "html", "digest", "keeper")
@@ -112,7 +109,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """Writes one WARC record per row of pages, in chunk rows.
 
     Null html is an empty payload. A null page_id is written without its id, and is never the response that
-    others refer to. Rows that repeat a page_id and payload have no larger page_id, and are responses.
+    others refer to. Rows that repeat a page_id and payload have no larger page_id, and are responses. Only
+    the three named columns are read, whatever else there is. An empty table gives no record.
     """
     bound_batches(pages.sparkSession)
     src = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html"))
@@ -209,4 +207,4 @@ def warc_bytes(rows: list) -> bytes:
     return b"".join(bytes(r["data"]) for r in sorted(rows, key=lambda r: (r["record_id"], r["chunk_no"])))
 
 
-__all__ = ["chunks_of", "np", "read_archives", "round_trip", "warc_bytes", "write_archives"]
+__all__ = ["chunks_of", "read_archives", "round_trip", "warc_bytes", "write_archives"]

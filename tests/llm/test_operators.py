@@ -582,6 +582,13 @@ def test_near_vectors(spark, monkeypatch, one_shard):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_of_null_and_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.05], 0), (None, [1.0, 0.0], 0), (None, [-1.0, 0.0], 0), (4, [-1.0, -0.01], 0)]
+    df = spark.createDataFrame([(i, v, l, "x") for i, v, l in rows], "vec_id long, embedding array<double>, label int, class_id string")
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in vectors.near_vectors(df).collect())
+    assert got == sorted([("1", 3, "1", True), ("1", 3, "1", True), ("1", 0, "1", True), ("2", 3, "1", False), ("None", 3, "1", False), ("None", 1, "4", False), ("4", 1, "4", True)])
+
+
 def test_near_vectors_finds_every_pair_of_a_large_label(spark, monkeypatch):
     """Loose vectors with a near copy each, and a dense group: links and components are those of brute force."""
     for name, value in (("ONE_SHARD", 200), ("SHARD", 20), ("BLOCK", 50)):
