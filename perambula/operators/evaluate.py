@@ -121,11 +121,26 @@ def missing_ids(wanted: DataFrame, there: DataFrame, c: str) -> DataFrame:
     return wanted.select(c).distinct().join(there.select(c), c, "left_anti")
 
 
+def hash_ranked(df: DataFrame, stratum: str, key: str, seed: int) -> DataFrame:
+    """With _rank, from 1 by the hash of key and seed within a stratum, and _total, the stratum's rows.
+
+    Rows are ranked within 4096 ranges of hashes and counted before each, so that no stratum is sorted in
+    one task.
+    """
+    h = F.xxhash64(F.col(key), F.lit(seed))
+    rows = df.withColumns({"_hash": h, "_range": F.shiftright(h, 52)})
+    counts = rows.groupBy(F.col(stratum).alias("_of"), F.col("_range").alias("_in")).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("_of")
+    counts = counts.withColumns({"_before": F.sum("_n").over(w.orderBy("_in")) - F.col("_n"), "_total": F.sum("_n").over(w)}).drop("_n")
+    own = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum, "_range").orderBy("_hash", key)))
+    found = own.join(counts, own[stratum].eqNullSafe(counts["_of"]) & (own["_range"] == counts["_in"]))
+    return found.withColumn("_rank", F.col("_rank") + F.col("_before")).select(*df.columns, "_rank", "_total")
+
+
 def split(df: DataFrame, share: float = 0.2, seed: int = 42, key: str = "user_id", stratum: str | None = None) -> DataFrame:
     """With `part`, test or train: of each stratum, the rows with the least hash of key and seed are the test part."""
-    w = Window.partitionBy(stratum) if stratum else Window.partitionBy(F.lit(0))
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    if not stratum:  # no window over all rows: the hash itself decides
-        return df.withColumn("part", F.when(F.pmod(h, F.lit(1_000_000)) < int(share * 1_000_000), F.lit("test")).otherwise(F.lit("train")))
-    rank = F.row_number().over(w.orderBy(h, key))
-    return df.withColumn("part", F.when(rank <= F.round(F.count("*").over(w) * share), F.lit("test")).otherwise(F.lit("train")))
+    if not stratum:  # no order of all rows: the hash itself decides
+        h = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000))
+        return df.withColumn("part", F.when(h < int(share * 1_000_000), F.lit("test")).otherwise(F.lit("train")))
+    part = F.when(F.col("_rank") <= F.round(F.col("_total") * share), F.lit("test")).otherwise(F.lit("train"))
+    return hash_ranked(df, stratum, key, seed).withColumn("part", part).drop("_rank", "_total")

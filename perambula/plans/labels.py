@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from perambula.functions import labels, text
@@ -322,16 +321,16 @@ def _labelled(spark, sf):
     c = fx.read(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"))
     columns = [x for x in table.columns if x != "user_id"]
     rows = learn.weighted(learn.index_labels(learn.assembled(table.join(c, "user_id"), columns), "segment"), "segment")
-    w = Window.partitionBy("segment").orderBy(F.xxhash64("user_id", F.lit(7)), "user_id")
-    rows = rows.withColumn("validation", F.row_number().over(w) % 7 == 0)
+    rows = evaluate.hash_ranked(rows, "segment", "user_id", 7).withColumn("validation", F.col("_rank") % 7 == 0).drop("_rank", "_total")
     return evaluate.split(rows, 0.2, 42, "user_id", "segment").checkpoint(), columns
 
 
 @query()
 def model_comparison(spark, sf):
-    """Random forest and the approximated RBF machine, with accuracy, F1 and an overfitting mark."""
+    """Random forest, boosted trees and the approximated RBF machine, with accuracy, F1 and an overfitting mark."""
     rows, columns = _labelled(spark, sf)
     mapped = learn.fourier_features(rows, len(columns), 32)
-    forest = learn.compare({"random_forest": learn.random_forest(numTrees=10, maxDepth=4)}, rows.where("part = 'train'"), rows.where("part = 'test'"))
+    trees = {"random_forest": learn.random_forest(numTrees=10, maxDepth=4), "boosted": learn.boosted(3, 2)}
+    forest = learn.compare(trees, rows.where("part = 'train'"), rows.where("part = 'test'"))
     svm = learn.compare({"rbf_svm": learn.rbf_svm(10)}, mapped.where("part = 'train'"), mapped.where("part = 'test'"))
     return forest.unionByName(svm)
