@@ -360,3 +360,41 @@ def greedy_json(spark, sf):
 def answer_accuracy(spark, sf):
     c = fx.classes(spark, sf)
     return evaluate.answer_accuracy(c.withColumn("p", F.upper("p")), {"class": ("t", "p")})
+
+
+# Answers of many forms -----------------------------------------------------------------------
+
+_SAID = ["", " ", "Male", "male, I think", "FEMALE", "f", "other", "Other gender", "prefer not to say", "non-binary", "18-24", "25-34 years", "65", "65+", "0-17", "2", "5 or more", "5+", "1 or 2", ">16000", "16000+", "16001", "4001-8000 CHF", "<4000", "8001", "12001-16000", "none", "x", None]
+_LIST = "[" + ", ".join("NULL" if x is None else f"'{x}'" for x in _SAID) + "]"
+
+
+def _allowed_sql(field: str) -> str:
+    values = "[" + ", ".join(f"'{x}'" for x in schema.ALLOWED[field]) + "]"
+    return f"CASE WHEN v = '' THEN NULL WHEN list_contains({values}, v) THEN v ELSE list_filter({values}, lambda a: contains(v, a) OR contains(a, v))[1] END"
+
+
+@query(
+    f"WITH p AS (SELECT c_custkey AS k, {_LIST}[c_custkey % {len(_SAID)} + 1] AS said FROM customer), s AS (SELECT k, replace(replace(replace(replace(replace(lower(trim(coalesce(said, ''))), 'prefer not to say', 'female'), 'other', 'male'), '5 or more', '5+'), '>16000', '16001+'), '16000+', '16001+') AS v FROM p)"
+    + " SELECT k, " + ", ".join(f"coalesce({_allowed_sql(f)}, '{d}') AS {f}, {_allowed_sql(f)} IS NULL AS {f}_defaulted" for f, d in schema.DEFAULTS.items()) + " FROM s"
+)
+def validated_fields(spark, sf):
+    """Each field made valid from answers of many forms."""
+    k = F.col("c_custkey")
+    said = F.get(F.array(*[F.lit(x) for x in _SAID]), (k % len(_SAID)).cast("int"))
+    made = fx.read(spark, sf, "customer").select(k.alias("k"), *[text.allowed_answer(said, f).alias(f"_{f}") for f in schema.DEFAULTS])
+    return made.select("k", *[c for f in schema.DEFAULTS for c in (F.col(f"_{f}.value").alias(f), F.col(f"_{f}.defaulted").alias(f"{f}_defaulted"))])
+
+
+# What stands around a JSON object, the object with %d for a number, and the number that is read of it.
+_FORMS = [
+    ('{"a": %d}', True), ('so {"a": 0} and {"a": %d} end', True), ("{'a': %d}", True), ("{a: %d}", True), ('{"a": %d,}', True), ('{"x": {"a": %d}}', True), ('{"a": %d', False), ("nothing %d", False),
+    ('[{"a": %d}]', True), ('{"a": [%d,]}', False), ('{"a": %d} {broken', True), ('{"a": %d} {not json either: }', True), ("```json\n{\"a\": %d}\n```", True), ('{"a" %d}', False), ("{ a : %d , }", True), ('{"b": %d}', False),
+]
+
+
+@query("SELECT c_custkey AS k, CASE WHEN list_contains([" + ", ".join(str(i) for i, (_, ok) in enumerate(_FORMS) if ok) + f"], c_custkey % {len(_FORMS)}) THEN CAST(c_custkey AS VARCHAR) END AS a FROM customer")
+def json_forms(spark, sf):
+    k = F.col("c_custkey")
+    said = F.get(F.array(*[F.format_string(form, k) for form, _ in _FORMS]), (k % len(_FORMS)).cast("int"))
+    found = F.get_json_object(text.recovered_json(said), "$.a")
+    return fx.read(spark, sf, "customer").select(k.alias("k"), F.when(found.rlike(r"^\d+$"), found).alias("a"))
