@@ -40,7 +40,7 @@ def shared_root(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_root:
         _own_root.append("file://" + tempfile.mkdtemp(prefix="perambula-"))
