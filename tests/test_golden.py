@@ -397,7 +397,7 @@ def test_first_row_of_a_user_counts_whole(spark):
 
 def test_cooldown_at_multiples(spark, monkeypatch):
     slept = []
-    monkeypatch.setattr(inference.time, "sleep", slept.append)
+    monkeypatch.setattr(inference, "time", type("Clock", (), {"sleep": slept.append}))
     df = spark.createDataFrame([(str(i), "x") for i in range(80)], "user_id string, prompt string").coalesce(1)
     asked = []
 
