@@ -25,6 +25,8 @@ from perambula.llm.common import bound_batches, new_path, write_table
 CHUNK_BYTES = 1 << 18
 #: Payloads of fewer bytes are always stored in full.
 MIN_REVISIT_BYTES = 1000
+#: Decisions that are broadcast at most, rows of two ids and a digest: some 16 MB.
+BROADCAST_ROWS = 200_000
 
 CHUNKS = T.StructType(
     [
@@ -100,6 +102,9 @@ def decide(pages: DataFrame, min_bytes: int) -> DataFrame:
     shared = sizes.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
     held = sizes.join(shared, "digest").where("page_id < keeper or page_id is null").select("page_id", "digest", "keeper").distinct()
     held = held.select(F.col("page_id").alias("held_id"), F.col("digest").alias("held_digest"), "keeper")
+    held = write_table(held, "held")
+    if held.count() <= BROADCAST_ROWS:  # else payloads are shuffled to their decisions
+        held = F.broadcast(held)
     digest = F.sha1(F.col("html").cast("binary"))
     rows = pages.select("page_id", "url", "html", digest.alias("digest"))
     return rows.join(held, rows["page_id"].eqNullSafe(held["held_id"]) & (rows["digest"] == held["held_digest"]), "left").select("page_id", "url", "html", "digest", "keeper")
