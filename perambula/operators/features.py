@@ -124,8 +124,12 @@ def rhythm_entropy(df: DataFrame, by: list[str]) -> DataFrame:
     return made.select(*by, *[c.alias(n) for n, c in rhythm(True).items()])
 
 
+def microseconds() -> Column:
+    return F.timestamp_diff("MICROSECOND", F.col("started_at"), F.col("finished_at"))
+
+
 def seconds() -> Column:
-    return F.timestamp_diff("MICROSECOND", F.col("started_at"), F.col("finished_at")) / 1e6
+    return microseconds() / 1e6
 
 
 def with_means(df: DataFrame, by: list[str]) -> DataFrame:
@@ -226,9 +230,12 @@ def mode_features(df: DataFrame, by: list[str], modes: list[str]) -> DataFrame:
 
 
 def stays(df: DataFrame, by: list[str]) -> DataFrame:
-    """(by, lat_r, lon_r, seconds, lat, lon, rank): time at each place, the longest first."""
-    spent = F.coalesce(F.greatest(seconds(), F.lit(0.0)), F.lit(0.0))
-    rows = df.where("lon_r is not null and lat_r is not null").groupBy(*by, "lat_r", "lon_r").agg(F.sum(spent).alias("seconds"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    """(by, lat_r, lon_r, seconds, lat, lon, rank): time at each place, the longest first.
+
+    Time is added in whole microseconds, so places of equal time tie in whatever order their rows come.
+    """
+    spent = F.coalesce(F.greatest(microseconds(), F.lit(0)), F.lit(0))
+    rows = df.where("lon_r is not null and lat_r is not null").groupBy(*by, "lat_r", "lon_r").agg((F.sum(spent) / 1e6).alias("seconds"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
     w = Window.partitionBy(*by).orderBy(F.desc("seconds"), "lat_r", "lon_r")
     return rows.withColumn("rank", F.row_number().over(w))
 

@@ -142,6 +142,22 @@ def test_features(stays):
     assert by_user(features.gyration_of_trips(stays, by))["one"]["rog_trips"] == 0
 
 
+@pytest.fixture(scope="module")
+def tied_stays(spark):
+    """Places of equal time, whose sums in floating seconds (0.1 + 0.2 and 0.3) differ."""
+    def of(user, lat, *tenths):
+        start = dt.datetime(2024, 1, 1, 8)
+        return [(user, str(lat), start, start + dt.timedelta(milliseconds=100 * t), 8.5, lat, "walk", 1.0) for t in tenths]
+
+    rows = of("a", 47.1, 3) + of("a", 47.2, 1, 2) + of("a", 47.9, 9) + of("b", 47.1, 3) + of("b", 47.9, 9)
+    return features.places(spark.createDataFrame(rows, "user_id string, location_id string, started_at timestamp, finished_at timestamp, lon double, lat double, mode string, distance double"))
+
+
+def test_equal_stays_rank_by_place(tied_stays):
+    top = by_user(features.top_stays(tied_stays, ["user_id"]))["a"]
+    assert (top["top1_lat"], top["top2_lat"]) == (47.9, 47.1)
+
+
 def test_geometry_forms(spark):
     df = spark.createDataFrame([("(47.3, 8.5)",), ("POINT (8.5 47.3)",), ("x",)], "g string")
     lon, lat = geo.any_point("g")
