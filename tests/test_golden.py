@@ -162,6 +162,10 @@ def test_equal_stays_gyration(tied_stays):
     assert abs(by_user(features.k2_gyration(tied_stays, ["user_id"]))["a"]["k2_rog_ratio"] - 0.4 / math.sqrt((0.3**2 + 0.2**2 + 0.5**2) / 3)) < 1e-6
 
 
+def test_equal_stays_unicity(tied_stays):
+    assert {u: r["unicity_200_w2"] for u, r in by_user(features.unicity(tied_stays)).items()} == {"a": 0, "b": 0}
+
+
 def test_geometry_forms(spark):
     df = spark.createDataFrame([("(47.3, 8.5)",), ("POINT (8.5 47.3)",), ("x",)], "g string")
     lon, lat = geo.any_point("g")
