@@ -79,10 +79,9 @@ def read_headed_prompts(spark: SparkSession, path: str) -> DataFrame:
     """(user_id, prompt) of a file with `===USER_id===` or `USER_id:` heads; else of lines `id<tab>prompt`."""
     whole = spark.read.text(path, wholetext=True)
     head = r"(?m)^(?:===USER_\S+?===|USER_\S+?:)[ \t]*$"
-    name = r"(?m)^(?:===)?USER_(\S+?)(?:===|:)[ \t]*$"
-    texts = F.split("value", head)
-    pairs = F.transform(F.regexp_extract_all("value", F.lit(name), F.lit(1)), lambda u, i: F.struct(u.alias("user_id"), strip(F.get(texts, i + 1)).alias("prompt")))
-    first = whole.where(F.col("value").rlike(head)).select(F.inline(pairs))
+    parts = F.arrays_zip(F.regexp_extract_all("value", F.lit(head), F.lit(0)).alias("head"), F.slice(F.split("value", head), F.lit(2), F.lit(2**31 - 1)).alias("text"))
+    first = whole.where(F.col("value").rlike(head)).select(F.inline(parts).alias("head", "text"))
+    first = first.select(F.regexp_replace("head", r"^(?:===)?USER_|(?:===|:)[ \t]*$", "").alias("user_id"), strip("text").alias("prompt"))
     tabbed = whole.where(~F.col("value").rlike(head)).select(F.explode(F.split("value", r"\r?\n")).alias("line")).where(F.col("line").contains("\t"))
     return first.unionByName(tabbed.select(strip(F.substring_index("line", "\t", 1)).alias("user_id"), strip(F.expr("substring(line, instr(line, '\t') + 1)")).alias("prompt")))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,6 +167,17 @@ def test_equal_stays_unicity(tied_stays):
     assert {u: r["unicity_200_w2"] for u, r in by_user(features.unicity(tied_stays)).items()} == {"a": 0, "b": 0}
 
 
+def test_many_headed_prompts(spark, tmp_path):
+    """A file of many heads is read in one pass: cut once a prompt, this one takes minutes."""
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "x").write_text("".join(f"===USER_{k}===\nprompt {k}\n" if k % 2 else f"USER_{k}:\nprompt {k}\n===USER_odd:\n" for k in range(20_000)))
+    began = time.monotonic()
+    got = {r.user_id: r.prompt for r in files.read_headed_prompts(spark, str(folder)).collect()}
+    assert time.monotonic() - began < 60
+    assert got == {str(k): f"prompt {k}" if k % 2 else f"prompt {k}\n===USER_odd:" for k in range(20_000)}
+
+
 def test_geometry_forms(spark):
     df = spark.createDataFrame([("(47.3, 8.5)",), ("POINT (8.5 47.3)",), ("x",)], "g string")
     lon, lat = geo.any_point("g")
