@@ -3,30 +3,34 @@
 Words and pairs of words are hashed into a fixed number of features. Two multinomials over the features
 are compared: that of the whole corpus, counted over every document, and that of trusted documents. A
 document's score is the mean over its features of log(p_trusted / p_corpus); documents at or above a
-threshold stay. Trusted documents are scored by a target that leaves out their own fold; where few labels
-make these scores low, all scores are raised, so that the threshold is at a low quantile of them.
+threshold stay. All trusted documents are scored by a target that leaves out their own fold, too; where few
+labels make these scores low, all scores are raised, so that the threshold is at a low quantile of them.
 
 Everything is made of DataFrame functions. One partial aggregate with a row per feature is shuffled, and the
-driver holds one weight per feature (FEATURES of them, whatever the corpus); scoring is a map over the
-documents.
+driver holds a weight per feature and fold (FEATURES of them, whatever the corpus); scoring is a map over the
+documents, written to a table that the verdict is read from.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from perambula.llm.common import write_table
+
 FEATURES = 8192
 #: Mean log ratio from which a document stays.
 THRESHOLD = -0.045
-#: Trusted documents that the target is fitted on: at most so many, those with the least hash of their id.
-TRUSTED_MOST = 20_000
+#: Ids of trusted documents that are broadcast; more are joined by a shuffle.
+BROADCAST_MOST = 2_000_000
 #: Counts that the corpus distribution adds to those of the target, as a share of these.
 PRIOR_SHARE = 0.1
-#: Folds of the trusted documents, how many are scored by the other folds, and the share of those that may fall below the threshold.
-FOLDS, HELD_OUT_MOST, QUANTILE = 8, 4000, 0.005
+#: Folds of the trusted documents, and the share of them that may fall below the threshold when scored by the other folds.
+FOLDS, QUANTILE = 8, 0.005
+#: Steps of a score that the quantile is first looked for in.
+STEP = 1 / 1024
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SPACE = r" \t\n\u000B\u000C\r"
@@ -102,12 +106,16 @@ def log_ratios(target: list[int], share: list[float]) -> list[float]:
     return [math.log((t + prior * p) / (total + prior) / p) for t, p in zip(target, share, strict=True)]
 
 
-def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, most: int = TRUSTED_MOST, n: int = FEATURES) -> tuple[list[float], float]:
-    """log(p_trusted / p_corpus) of each feature, and what is added to scores for the threshold. No trusted document: all 0."""
-    ids = trusted.select(trusted[id_col].cast("long").alias("trusted_id")).where("trusted_id is not null").distinct()
-    ids = ids.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(most)
+def trusted_ids(trusted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(trusted_id), each once, to be broadcast if they are few."""
+    ids = write_table(trusted.select(trusted[id_col].cast("long").alias("trusted_id")).where("trusted_id is not null").distinct(), "trusted")
+    return F.broadcast(ids) if ids.count() <= BROADCAST_MOST else ids
+
+
+def fit(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = FEATURES) -> tuple[list[float], list[float]]:
+    """log(p_trusted / p_corpus) of each feature; and those without a fold, fold by fold. No trusted document: all 0."""
     rows = docs.select(docs[id_col].cast("long").alias("i"), F.coalesce(docs[text_col], F.lit("")).alias("body")).select("i", hold(words_of("body")).alias("words"))
-    rows = rows.select("i", hold(features()).alias("fs")).join(F.broadcast(ids), F.col("i") == F.col("trusted_id"), "left")
+    rows = rows.select("i", hold(features()).alias("fs")).join(ids, F.col("i") == F.col("trusted_id"), "left")
     exploded = rows.select(F.explode("fs").alias("f"), F.when(F.col("trusted_id").isNotNull(), fold_of("trusted_id")).alias("fold"))
     counts = exploded.groupBy("f").agg(F.count("*").alias("r"), *[F.count_if(F.col("fold") == k).alias(f"t{k}") for k in range(FOLDS)])
     raw, folds = [0] * n, [[0] * n for _ in range(FOLDS)]
@@ -117,22 +125,27 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
             folds[k][f] = t
     total, target = sum(raw), [sum(ts) for ts in zip(*folds, strict=True)]
     if not sum(target):
-        return [0.0] * n, 0.0
+        return [0.0] * n, [0.0] * n * FOLDS
     share = [(r + 1) / (total + n) for r in raw]
     others = [w for own in folds for w in log_ratios([t - o for t, o in zip(target, own, strict=True)], share)]
-    some = ids.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(HELD_OUT_MOST)
-    held = docs.select(docs[id_col].cast("long").alias("trusted_id"), docs[text_col].alias("text")).join(F.broadcast(some), "trusted_id", "left_semi")
-    held = base(held, "text").where("not base_failed").select(hold(F.transform(features(n=n), lambda f: f + fold_of("doc.trusted_id") * n)).alias("fs"))
-    low = held.select(hold(_mean(F.col("fs"), _table(others))).alias("s")).agg(F.expr(f"percentile_disc({QUANTILE}) within group (order by s)")).first()[0]
-    least = math.log(PRIOR_SHARE / (1 + PRIOR_SHARE))
-    return log_ratios(target, share), max(0.0, threshold - (least if low is None else low))
+    return log_ratios(target, share), others
 
 
-def score(weight: list[float], words: str = "words") -> Column:
-    """Mean weight of a text's features; 0 for a text without words."""
-    table = _table(weight)
-    mean = F.transform(F.array(features(words, len(weight))), lambda fs: _mean(fs, table))
-    return F.when(F.size(words) == 0, F.lit(0.0)).otherwise(F.element_at(mean, 1))
+def low_quantile(scores: DataFrame, c: str, share: float = QUANTILE) -> float | None:
+    """The least value that at least this share of the column's values don't exceed; exact, null ones left out.
+
+    The driver holds a count for each step of the values, and one step's values up to the wanted one.
+    """
+    step = F.floor(F.col(c) / STEP).alias("step")
+    counts = sorted(scores.where(F.col(c).isNotNull()).groupBy(step).agg(F.count("*").alias("n")).collect())
+    left = math.ceil(share * sum(r.n for r in counts))
+    for at, n in counts:
+        if left <= n:
+            inside = scores.where(F.floor(F.col(c) / STEP) == at).groupBy(c).agg(F.count("*").alias("n"))
+            below = inside.withColumn("upto", F.sum("n").over(Window.orderBy(c)))
+            return below.where(F.col("upto") >= left).agg(F.min(c)).first()[0]
+        left -= n
+    return None
 
 
 def _table(weight: list[float]) -> str:
@@ -143,8 +156,8 @@ def _mean(fs: Column, table: str) -> Column:
     return F.aggregate(fs, F.lit(0.0), lambda a, x: a + F.get(F.expr(table), x)) / F.size(fs)
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Per row of docs: struct `doc` (its columns), the base counts, base_failed, score, kept.
+def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
+    """Per row of docs: struct `doc` (its columns, or those of carry), the base counts, base_failed, score, kept.
 
     kept: not base_failed, and score >= threshold. The score is raised where fewer than 1 - QUANTILE of the
     trusted documents, each scored without its fold, would reach the threshold: few labels reject little.
@@ -152,11 +165,21 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     rows count each time; extra columns, whatever their names, stay within `doc`.
     An empty corpus or target gives score 0.
     """
-    weight, raised = fit(docs, trusted, id_col, text_col, threshold)
-    df = base(docs, text_col)
-    verdict = F.when(F.col("base_failed"), F.lit(None).cast("double")).otherwise(score(weight) + F.lit(raised))
-    df = df.select("doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", hold(verdict).alias("score"))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    ids = trusted_ids(trusted, id_col)
+    weight, others = fit(docs, ids, id_col, text_col)
+    rows = docs.select(F.struct(*[docs[c] for c in carry or docs.columns]).alias("row"), docs[text_col].alias("text"), docs[id_col].cast("long").alias("i"))
+    rows = rows.join(ids, F.col("i") == F.col("trusted_id"), "left").select("row", "text", F.when(F.col("trusted_id").isNotNull(), fold_of("trusted_id")).alias("fold"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    df = base(rows, "text").select(F.col("doc.row").alias("doc"), F.col("doc.fold").alias("fold"), *counts, hold(F.when(~F.col("base_failed"), features())).alias("fs"))
+    own = F.transform("fs", lambda f: f + F.col("fold") * FEATURES)
+    held = F.when(F.col("fold").isNotNull() & F.col("fs").isNotNull(), _mean(own, _table(others)))
+    df = write_table(df.select("doc", *counts, F.when(F.col("fs").isNotNull(), _mean(F.col("fs"), _table(weight))).alias("score"), held.alias("held")), "scores")
+    raised = 0.0
+    if any(weight):
+        low = low_quantile(df, "held")
+        raised = max(0.0, threshold - (math.log(PRIOR_SHARE / (1 + PRIOR_SHARE)) if low is None else low))
+    df = df.select("doc", *counts, (F.col("score") + F.lit(raised)).alias("score"))
+    return df.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False)))
 
 
 def trusted_documents(labels: DataFrame) -> DataFrame:

@@ -235,6 +235,18 @@ def test_quality_score_against_brute_force(docs):
             assert abs(got[k].score - want) < 1e-4 and got[k].kept == (want >= quality.THRESHOLD)
 
 
+@pytest.mark.parametrize("broadcast", [10**9, 0])
+def test_quality_fits_and_holds_out_every_trusted_document(spark, monkeypatch, broadcast):
+    """Texts that only those 200 of 20,200 trusted documents have whose ids' hashes are the greatest."""
+    monkeypatch.setattr(quality, "BROADCAST_MOST", broadcast, raising=False)
+    ranked = [r.id for r in spark.range(20_200).orderBy(F.xxhash64("id"), "id").collect()]
+    rare = set(ranked[20_000:])
+    plain, other = " ".join(f"w{k}" for k in range(50)), " ".join(f"r{k}" for k in range(50))
+    docs = spark.createDataFrame([(i, other if i in rare else plain) for i in range(20_200)], "doc_id long, text string")
+    rows = quality.quality_rules(docs, docs.select("doc_id")).groupBy("kept").count().collect()
+    assert {r["kept"]: r["count"] for r in rows} == {True: 20_200}
+
+
 def test_quality_separates_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (queries.table(spark, sf, n) for n in ("documents", "labels"))
