@@ -8,9 +8,10 @@ rows are, and only unicity, which compares users, shuffles again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from perambula.functions import geo
@@ -135,9 +136,25 @@ def seconds() -> Column:
 def with_means(df: DataFrame, by: list[str]) -> DataFrame:
     """With the mean point (clat, clon) and, of stays of positive length, d, their mean and number."""
     w = Window.partitionBy(*by)
-    there = F.col("lon").isNotNull() & F.col("lat").isNotNull()
     df = df.withColumn("d", F.when(seconds() > 0, seconds()))
-    return df.withColumns({"clat": F.avg(F.when(there, F.col("lat"))).over(w), "clon": F.avg(F.when(there, F.col("lon"))).over(w), "d_mean": F.avg("d").over(w), "d_n": F.count("d").over(w)})
+    return df.withColumns(centre(w) | {"d_mean": F.avg("d").over(w), "d_n": F.count("d").over(w)})
+
+
+def steady_sum(c: Column, over: Callable[[Column], Column] = lambda x: x) -> Column:
+    """The sum, the same in whatever order rows come; null if a value or the sum is too large.
+
+    Whole numbers are added: of 2**-26, and of what these leave of 2**-66.
+    """
+    high = F.rint(c * 2.0**26)
+    high, low = high.try_cast("bigint"), F.rint((c * 2.0**26 - high) * 2.0**40).try_cast("bigint")
+    return F.when(over(F.count(high)) == over(F.count(c)), over(F.try_sum(high)) / 2.0**26 + over(F.try_sum(low)) / 2.0**66)
+
+
+def centre(w: WindowSpec) -> dict[str, Column]:
+    """clat and clon: the mean point of rows that have both."""
+    there = F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    both = {c: F.when(there, F.col(c)) for c in ("lat", "lon")}
+    return {f"c{k}": F.coalesce(steady_sum(c, lambda x: x.over(w)) / F.count(c).over(w), F.avg(c).over(w)) for k, c in both.items()}
 
 
 def fragmentation_column() -> Column:
@@ -195,8 +212,23 @@ def diameter(df: DataFrame, by: list[str], most: int = HULL_POINTS, seed: int =
     return farthest(df.where("lon is not null and lat is not null").select(*by, "lat_r", "lon_r").distinct(), by, most, seed)
 
 
+def moment(u: Column, v: Column, plain: Column) -> Column:
+    """Sample covariance of distances from the mean, 0 if one of them doesn't vary; the plain one where they are too large."""
+    both = u.isNotNull() & v.isNotNull()
+    n, flat = F.count(F.when(both, 1)), [F.min(F.when(both, c)) == F.max(F.when(both, c)) for c in (u, v)]
+    off = F.sum(F.when(both, u)) * F.sum(F.when(both, v)) / n if u is v else F.lit(0.0)  # rows that lack the other coordinate
+    return F.coalesce(F.when(n > 1, F.when(flat[0] | flat[1], F.lit(0.0)).otherwise((steady_sum(u * v) - off) / (n - 1))), plain)
+
+
 def moment_columns() -> list[Column]:
-    return [F.count("lat").alias("_n"), F.var_samp("lat").alias("_a"), F.var_samp("lon").alias("_c"), F.covar_samp("lat", "lon").alias("_b")]
+    """Aggregates of rows with clat and clon, the mean point of those that have both coordinates."""
+    lat, lon = F.col("lat") - F.col("clat"), F.col("lon") - F.col("clon")
+    return [
+        F.count("lat").alias("_n"),
+        moment(lat, lat, F.var_samp("lat")).alias("_a"),
+        moment(lon, lon, F.var_samp("lon")).alias("_c"),
+        moment(lat, lon, F.covar_samp("lat", "lon")).alias("_b"),
+    ]
 
 
 def ellipse_columns() -> dict[str, Column]:
@@ -217,8 +249,10 @@ def ellipse(df: DataFrame, by: list[str]) -> DataFrame:
     """Area, eccentricity and direction of the standard ellipse of (lat, lon); 0 for fewer than three points.
 
     The direction is that of the long axis in degrees from the latitude axis, its longitude part not negative.
+    Where the covariance is zero but for the coordinates' rounding its sign decides between 0 and 180, so moments
+    don't depend on the order of rows.
     """
-    return df.groupBy(*by).agg(*moment_columns()).select(*by, *[c.alias(n) for n, c in ellipse_columns().items()])
+    return df.withColumns(centre(Window.partitionBy(*by))).groupBy(*by).agg(*moment_columns()).select(*by, *[c.alias(n) for n, c in ellipse_columns().items()])
 
 
 def mode_features(df: DataFrame, by: list[str], modes: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 import time
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from perambula import schema
@@ -167,6 +168,36 @@ def test_equal_stays_unicity(tied_stays):
     assert {u: r["unicity_200_w2"] for u, r in by_user(features.unicity(tied_stays)).items()} == {"a": 0, "b": 0}
 
 
+#: Places of two users' weekends whose covariance is zero but for the coordinates' rounding, and its direction by exact fractions.
+ROUNDED = [((4, 78, 92, 94, 73, 4, 54, 95, 69, 19, 44, 11, 60, 69), 0.0), ((6, 36, 2, 76, 56, 63, 0, 92, 69, 81, 34, 87, 81, 91, 60, 21), 180.0)]
+
+
+@pytest.fixture(scope="module")
+def rounded_stays(spark):
+    """(user_id, ...) in 40 orders of each of ROUNDED's; user_id ends in the number of its places."""
+    rows = []
+    for n, (places, _) in enumerate(ROUNDED):
+        for order in range(40):
+            mixed = sorted(places, key=lambda k: hash((order, k)))
+            rows += [(f"{order}-{n}", dt.datetime(2024, 1, 1, 8, i), dt.datetime(2024, 1, 1, 8, i + 1), 8.45 + k % 10 * 0.01, 47.30 + k // 10 * 0.01, "walk", k) for i, k in enumerate(mixed)]
+    return spark.createDataFrame(rows, "user_id string, started_at timestamp, finished_at timestamp, lon double, lat double, mode string, location_id long").repartition(7).cache()
+
+
+def test_ellipse_direction_in_any_order(rounded_stays):
+    found = {(r.user_id[-1], round(r.ellipse_direction, 3)) for r in features.ellipse(rounded_stays, ["user_id"]).collect()}
+    assert found == {(str(n), d) for n, (_, d) in enumerate(ROUNDED)}
+
+
+def test_ellipse_of_large_and_missing_coordinates(spark):
+    far = [("far", 1e16 * x, 1e16 * y) for x, y in ((0, 0), (1, 1), (3, 2))]
+    rows = [*far, *[("half", float(x), None) for x in range(3)], *[("some", x, y) for x, y in ((1.0, 1.0), (2.0, 3.0), (4.0, 4.0), (9.0, None))]]
+    stays = spark.createDataFrame(rows, "user_id string, lat double, lon double").withColumns(features.centre(Window.partitionBy("user_id")))
+    made = by_user(stays.groupBy("user_id").agg(*features.moment_columns(), F.var_samp("lat").alias("a"), F.covar_samp("lat", "lon").alias("b")))
+    assert made["half"]["_b"] is None and made["half"]["_n"] == 3
+    for user in ("far", "some"):
+        assert math.isclose(made[user]["_a"], made[user]["a"]) and math.isclose(made[user]["_b"], made[user]["b"])
+
+
 def test_many_headed_prompts(spark, tmp_path):
     """A file of many heads is read in one pass: cut once a prompt, this one takes minutes."""
     folder = tmp_path / "many"
