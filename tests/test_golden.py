@@ -198,6 +198,11 @@ def test_ellipse_of_large_and_missing_coordinates(spark):
         assert math.isclose(made[user]["_a"], made[user]["a"]) and math.isclose(made[user]["_b"], made[user]["b"])
 
 
+def test_assembled_direction_in_any_order(rounded_stays):
+    found = {(r.user_id[-1], round(r.weekday_ellipse_direction, 3)) for r in features.assemble(rounded_stays, ["walk"]).collect()}
+    assert found == {(str(n), d) for n, (_, d) in enumerate(ROUNDED)}
+
+
 def test_many_headed_prompts(spark, tmp_path):
     """A file of many heads is read in one pass: cut once a prompt, this one takes minutes."""
     folder = tmp_path / "many"
