@@ -196,7 +196,7 @@ class Tokens:
     TEXTS = 16
     MARKS = ".,;:!?%$#&*|)(\"-"
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 300_000):
         import os
         import re
 

@@ -659,6 +659,18 @@ def test_token_files_are_read_by_another_session(spark, docs):
         token_files.Table.from_bytes(bytes(damaged))
 
 
+def test_tokens_remember_a_quarter_of_a_million_pieces():
+    import public_tokenizers
+
+    tokens = token_files.Tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    text = " ".join(f"p{k}" for k in range(250_000))
+    first = tokens.encode([text])[0]
+    known = tokens.place
+    again = tokens.encode([text])[0]
+    assert tokens.place is known and len(known) == 249_999 and (first == again).all()
+    assert first[:2000].tolist() == tokens.model.encode(text[:20_000], add_special_tokens=False).ids[:2000]
+
+
 def test_tokens_keep_what_is_met_again():
     """With room for few pieces, ids stay those of the library, and frequent pieces stay."""
     path, t = tokenizer("byte_bpe_50k.json")
