@@ -19,7 +19,6 @@ from perambula.functions import geo
 TINY = 1e-10
 SLICES = ["all", "weekday", "weekend"]
 PLACE_DIGITS = 3
-HULL_POINTS = 200
 
 
 def slices(df: DataFrame) -> DataFrame:
@@ -195,21 +194,31 @@ def gyration_of_trips(df: DataFrame, by: list[str], c: str = "distance") -> Data
     return df.groupBy(*by).agg(F.sqrt(F.coalesce(F.var_samp(c), F.lit(0.0))).alias("rog_trips"))
 
 
-def farthest(points: DataFrame, by: list[str], most: int = HULL_POINTS, seed: int = 42) -> DataFrame:
-    """(by, diameter_km) of distinct points (lat_r, lon_r), pair by pair; of more than `most` those with the least hash count."""
+def ends(points: DataFrame, by: list[str], row: str, along: str) -> DataFrame:
+    """Of points that share `row` those first and last `along`; all points of groups that are not `near`."""
+    w = Window.partitionBy(*by, row)
+    return points.withColumns({"_first": F.min(along).over(w), "_last": F.max(along).over(w)}).where(~F.col("near") | F.col(along).isin(F.col("_first"), F.col("_last"))).drop("_first", "_last")
+
+
+def farthest(points: DataFrame, by: list[str]) -> DataFrame:
+    """(by, diameter_km) of all distinct points (lat_r, lon_r), pair by pair.
+
+    Where no two points of a group are more than 90 degrees apart, balls are convex, and from wherever one looks the
+    farthest point of a parallel, and of a meridian, is one of its ends; points between ends form no pairs there.
+    """
     w = Window.partitionBy(*by)
-    order = [F.xxhash64("lat_r", "lon_r", F.lit(seed)), "lat_r", "lon_r"]
-    sampled = points.select(*by, "lat_r", "lon_r", F.row_number().over(w.orderBy(*order)).alias("k")).where(F.col("k") <= most)
-    listed = sampled.withColumn("all", F.collect_list(F.struct("k", "lat_r", "lon_r")).over(w))
-    later = F.filter("all", lambda o: o["k"] > F.col("k"))
-    pairs = listed.select(*by, "lat_r", "lon_r", F.explode_outer(later).alias("o"))
-    far = geo.haversine_km(F.col("lat_r"), F.col("lon_r"), F.col("o.lat_r"), F.col("o.lon_r"))
-    return pairs.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("o").isNotNull(), far)), F.lit(0.0)).alias("diameter_km"))
-
-
-def diameter(df: DataFrame, by: list[str], most: int = HULL_POINTS, seed: int = 42) -> DataFrame:
-    """Largest distance between two of a user's distinct places; of more than `most` places those with the least hash count."""
-    return farthest(df.where("lon is not null and lat is not null").select(*by, "lat_r", "lon_r").distinct(), by, most, seed)
+    half = lambda c: F.pow(F.sin(F.radians(F.max(c).over(w) - F.min(c).over(w)) / 2), 2)
+    span = F.greatest(F.max("lat_r").over(w) - F.min("lat_r").over(w), F.max("lon_r").over(w) - F.min("lon_r").over(w))
+    near = (half("lat_r") + half("lon_r") < 0.5) & (span < 90) & (F.min("lat_r").over(w) >= -90) & (F.max("lat_r").over(w) <= 90)
+    outer = ends(ends(points.select(*by, "lat_r", "lon_r", near.alias("near")), by, "lat_r", "lon_r"), by, "lon_r", "lat_r")
+    listed = outer.withColumn("all", F.collect_list(F.struct("lat_r", "lon_r")).over(w))
+    pairs = listed.select(*by, "lat_r", "lon_r", F.explode("all").alias("o"))
+    return pairs.groupBy(*by).agg(F.max(geo.haversine_km(F.col("lat_r"), F.col("lon_r"), F.col("o.lat_r"), F.col("o.lon_r"))).alias("diameter_km"))
+
+
+def diameter(df: DataFrame, by: list[str]) -> DataFrame:
+    """Largest distance between two of a user's distinct places."""
+    return farthest(df.where("lon is not null and lat is not null").select(*by, "lat_r", "lon_r").distinct(), by)
 
 
 def moment(u: Column, v: Column, plain: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
 import time
 
 import pytest
@@ -144,6 +145,32 @@ def test_features(stays):
     assert by_user(features.gyration_of_trips(stays, by))["one"]["rog_trips"] == 0
 
 
+def haversine(a, b):
+    (y1, x1), (y2, x2) = [[math.radians(v) for v in p] for p in (a, b)]
+    h = math.sin((y2 - y1) / 2) ** 2 + math.cos(y1) * math.cos(y2) * math.sin((x2 - x1) / 2) ** 2
+    return 2 * 6371 * math.asin(math.sqrt(min(h, 1)))
+
+
+def test_diameter_of_many_places(spark):
+    """All places count, however many: dense and loose ones, across the date line, at a pole and all over the globe."""
+    rng = random.Random(5)
+    of = lambda n, lats, lons, digits: {(round(rng.uniform(*lats), digits), round(rng.uniform(*lons), digits)) for _ in range(n)}
+    users = {
+        "grid": {(47 + i / 1000, 8 + j / 1000) for i in range(25) for j in range(30)},
+        "disc": {p for p in of(900, (46, 48), (7, 10), 2) if math.hypot(p[0] - 47, (p[1] - 8.5) / 1.5) < 0.9},
+        "loose": of(400, (30, 70), (-20, 40), 3),
+        "dateline": of(400, (-20, 20), (150, 179.999), 3) | of(100, (-20, 20), (-179.999, -150), 3),
+        "pole": of(400, (80, 90), (-180, 180), 3),
+        "globe": of(400, (-90, 90), (-180, 180), 3),
+        "antipodes": of(300, (-1, 1), (0, 2), 3) | {(0.5, -179.0)},
+    }
+    rows = [(u, *p) for u, points in users.items() for p in points]
+    found = by_user(features.diameter(spark.createDataFrame(rows, "user_id string, lat double, lon double").selectExpr("*", "lat as lat_r", "lon as lon_r"), ["user_id"]))
+    for user, points in users.items():
+        assert len(points) > 200
+        assert math.isclose(found[user]["diameter_km"], max(haversine(a, b) for a in points for b in points), rel_tol=1e-12), user
+
+
 @pytest.fixture(scope="module")
 def tied_stays(spark):
     """Places of equal time, whose sums in floating seconds (0.1 + 0.2 and 0.3) differ."""
