@@ -240,6 +240,11 @@ def moment_columns() -> list[Column]:
     ]
 
 
+def passed_moment_columns() -> list[Column]:
+    """Aggregates as `moment_columns`, by Welford's pass over rows as they come: what a SQL engine's own do, to the last bit."""
+    return [F.count("lat").alias("_n"), F.covar_samp("lat", "lat").alias("_a"), F.covar_samp("lon", "lon").alias("_c"), F.covar_samp("lon", "lat").alias("_b")]
+
+
 def ellipse_columns() -> dict[str, Column]:
     """Of moments of (lat, lon)."""
     a, b, c = F.col("_a"), F.col("_b"), F.col("_c")
@@ -254,14 +259,18 @@ def ellipse_columns() -> dict[str, Column]:
     }
 
 
-def ellipse(df: DataFrame, by: list[str]) -> DataFrame:
+def ellipse(df: DataFrame, by: list[str], order: str | None = None) -> DataFrame:
     """Area, eccentricity and direction of the standard ellipse of (lat, lon); 0 for fewer than three points.
 
     The direction is that of the long axis in degrees from the latitude axis, its longitude part not negative.
     Where the covariance is zero but for the coordinates' rounding its sign decides between 0 and 180, so moments
-    don't depend on the order of rows.
+    don't depend on the order of rows, or are those of one pass in the given order.
     """
-    return df.withColumns(centre(Window.partitionBy(*by))).groupBy(*by).agg(*moment_columns()).select(*by, *[c.alias(n) for n, c in ellipse_columns().items()])
+    if order:
+        moments = df.repartition(*by).sortWithinPartitions(*by, order).groupBy(*by).agg(*passed_moment_columns())
+    else:
+        moments = df.withColumns(centre(Window.partitionBy(*by))).groupBy(*by).agg(*moment_columns())
+    return moments.select(*by, *[c.alias(n) for n, c in ellipse_columns().items()])
 
 
 def mode_features(df: DataFrame, by: list[str], modes: list[str]) -> DataFrame:
