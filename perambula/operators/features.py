@@ -335,7 +335,7 @@ def unicity(df: DataFrame, user: str = "user_id", metres: tuple = (200, 500), wi
 
 
 def rates(df: DataFrame, by: list[str], c: str = "distance") -> DataFrame:
-    days = F.greatest(F.count_distinct(F.to_date("started_at")), F.lit(1))
+    days = F.greatest(F.size(F.collect_set(F.to_date("started_at"))), F.lit(1))  # beside count_distinct sums would be made by day first
     return df.groupBy(*by).agg((F.count("*") / days).alias("trips_per_day"), (F.coalesce(F.sum(c), F.lit(0.0)) / days).alias("distance_per_day"))
 
 
@@ -350,17 +350,21 @@ def by_user(df: DataFrame, user: str, columns: list[str]) -> DataFrame:
     return packed.select(user, F.inline("rows"))
 
 
-def assemble(df: DataFrame, modes: list[str], user: str = "user_id", tie: str = "location_id") -> DataFrame:
+def assemble(df: DataFrame, modes: list[str], user: str = "user_id", tie: str = "location_id", order: str | None = None) -> DataFrame:
     """One wide row a user, names prefixed by the slice; what a user lacks is 0.
 
+    Means and sums of distances, and the moments of ellipses, are made in the given order, if any.
+
     Rows are dealt to users once; each family of features is then made wide on its own, and families join by
     user where they are.
     """
     by, far = [user, "slice"], "distance" in df.columns
-    base = by_user(df, user, list(dict.fromkeys(["started_at", "finished_at", "lon", "lat", "mode", tie] + (["distance"] if far else []))))
+    base = by_user(df, user, list(dict.fromkeys(["started_at", "finished_at", "lon", "lat", "mode", tie] + (["distance"] if far else []) + ([order] if order else []))))
     sliced = slices(base)
+    in_order = lambda x, *keys: x.sortWithinPartitions(*keys, order) if order else x
+    moments = passed_moment_columns() if order else moment_columns()
     found = counted(sliced, by, "place", "lat_r", "lon_r")
-    plain = with_means(sliced, by).groupBy(*by).agg(*temporal_columns(), fragmentation_column(), gyration_column(), *moment_columns(), *(distance_columns() if far else []))
+    plain = with_means(in_order(sliced, *by), by).groupBy(*by).agg(*temporal_columns(), fragmentation_column(), gyration_column(), *moments, *(distance_columns() if far else []))
     plain = plain.withColumns(rhythm(False) | rhythm(True) | ellipse_columns())
     names = [*temporal_names(), "time_fragmentation", "rog_km", "diameter_km", *ellipse_columns(), "od_entropy", "n_motif_types"]
     names += [f"motif_top{k}_ratio" for k in (1, 2, 3)] + [f"mode_{m}_{c}" for c in ("count", "ratio") for m in modes]
@@ -373,7 +377,7 @@ def assemble(df: DataFrame, modes: list[str], user: str = "user_id", tie: str =
         own = [c for c in part.columns if c in names]
         wide.append(part.groupBy(user).agg(*[F.first(F.when(F.col("slice") == s, F.struct(*own)), True).alias(f"{s}_{k}") for s in SLICES]))
         place |= dict.fromkeys(own, k)
-    extra = [long_stays(base, [user]), unicity(base, user)] + ([rates(base, [user])] if far else [])
+    extra = [long_stays(base, [user]), unicity(base, user)] + ([rates(in_order(base, user), [user])] if far else [])
     whole = reduce(lambda a, b: a.join(b, user, "left"), [*wide, *extra])
     last = [c for e in extra for c in e.columns if c != user]
     return whole.select(user, *[F.col(f"{s}_{place[c]}.{c}").alias(f"{s}_{c}") for s in SLICES for c in names], *last).na.fill(0)

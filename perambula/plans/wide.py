@@ -107,5 +107,5 @@ def _wide_sql() -> str:
 @query(_wide_sql())
 def feature_table(spark, sf):
     """All features of all users; the ellipses' directions to three places, as they hang on differences of small numbers."""
-    table = features.assemble(fx.staypoints(spark, sf), MODES)
+    table = features.assemble(fx.staypoints(spark, sf), MODES, order="event_id")
     return table.withColumns({c: fx.even(F.col(c), 3) for c in table.columns if re.search("ellipse_direction$", c)})
